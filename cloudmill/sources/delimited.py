@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from cloudmill.schema import ALL_COLUMNS, LAYOUTS, RGB, WHOLE_NUMBERS, XYZ, point_schema
 
+_LINE = "__pt_line"
 _FIELDS = "__pt_fields"
 
 
@@ -16,7 +17,7 @@ def read_delimited(
     columns=ALL_COLUMNS,
     default_rgb: float | None = None,
     whole_numbers: bool = False,
-    malformed: str = "fail",
+    corrupt_column: str | None = None,
 ) -> DataFrame:
     """Read every `*.csv` under `path`, at any depth, as points of the fixed schema.
 
@@ -26,54 +27,72 @@ def read_delimited(
     elsewhere is refused instead of shifted.
 
     `default_rgb` fills colours that are absent. `whole_numbers` truncates the integer
-    attributes toward zero. `malformed` lines "fail" the query or are "drop"ped.
+    attributes toward zero. A line that fits no layout or does not parse fails the
+    query, or is kept as text in `corrupt_column` beside NULLs.
     """
-    if malformed not in ("fail", "drop"):
-        raise ValueError("malformed is 'fail' or 'drop'")
     lines = (
         spark.read.option("pathGlobFilter", "*.csv")
         .option("recursiveFileLookup", "true")
         .text(path)
-        .filter(F.length(F.trim("value")) > 0)
+        .select(F.trim("value").alias(_LINE))
+        .filter(F.length(_LINE) > 0)
+        .withColumn(_FIELDS, F.split(_LINE, ",", -1))
     )
-    # One splittable pass; the layout is chosen per line, not per file.
-    split = lines.select("value", F.split(F.trim("value"), ",", -1).alias(_FIELDS))
-    header = F.element_at(_FIELDS, 1).rlike(r'^\s*"?[A-Za-z_]') & ~F.lower(
-        F.element_at(_FIELDS, 1)
-    ).isin("nan", "infinity")
-    accepted = F.size(_FIELDS).isin(*LAYOUTS)
-    if malformed == "fail":
-        known = F.lower(F.regexp_replace("value", r'["\s]', "")).isin(
-            *[",".join(names).lower() for names in LAYOUTS.values()]
-        )
-        refused = (
-            F.when(header & ~known, F.lit("header does not match a known layout: "))
-            .when(~header & ~accepted, F.lit("line has neither 13, 15 nor 16 fields: "))
-        )
-        # Checked in the row filter itself, so pruning columns cannot skip it.
-        keep = F.when(refused.isNotNull(), F.raise_error(F.concat(refused, F.col("value")))).otherwise(
-            ~header
-        )
-    else:
-        keep = ~header & accepted
-    parse = _parse if malformed == "fail" else _try_parse
-    points = split.filter(keep.cast("boolean")).select(
-        *[parse(_field(c)).alias(c) for c in columns]
+    points = lines.filter(_is_point()).select(
+        *[_value(c, corrupt_column is None).alias(c) for c in columns],
+        *([_corrupt_line().alias(corrupt_column)] if corrupt_column else []),
     )
-    if malformed == "drop":
-        points = points.dropna(subset=[c for c in XYZ if c in columns])
     changes = {}
-    for c in columns:
-        value = F.col(c)
-        if whole_numbers and c in WHOLE_NUMBERS:
-            value = value.cast("int").cast("double")
-        if default_rgb is not None and c in RGB:
-            value = F.coalesce(value, F.lit(float(default_rgb)))
-        if value is not F.col(c):
-            changes[c] = value
+    if whole_numbers:
+        changes |= {c: F.col(c).cast("int").cast("double") for c in columns if c in WHOLE_NUMBERS}
+    if default_rgb is not None:
+        changes |= {
+            c: F.coalesce(changes.get(c, F.col(c)), F.lit(float(default_rgb)))
+            for c in columns
+            if c in RGB
+        }
     return points.withColumns(changes) if changes else points
 
 
+def _is_point() -> Column:
+    """False for a header of a known layout; a header of any other kind is an error."""
+    first = F.lower(F.element_at(_FIELDS, 1))
+    header = first.rlike(r'^\s*"?[a-z_]') & ~first.isin("nan", "infinity", "inf")
+    known = F.lower(F.regexp_replace(_LINE, r'["\s]', "")).isin(
+        *[",".join(names).lower() for names in LAYOUTS.values()]
+    )
+    refuse = F.raise_error(F.concat(F.lit("header matches no known layout: "), F.col(_LINE)))
+    return F.when(header & ~known, refuse.cast("boolean")).otherwise(~header)
+
+
+def _text(column: str) -> Column:
+    """Text of one column, by the layout that the line's number of fields implies."""
+    text = F.lit(None).cast(T.StringType())
+    for width, names in LAYOUTS.items():
+        if column in names:
+            position = names.index(column) + 1
+            text = F.when(F.size(_FIELDS) == width, F.element_at(_FIELDS, position)).otherwise(text)
+    return F.nullif(F.trim(text), F.lit(""))
+
+
+def _value(column: str, strict: bool) -> Column:
+    if not strict:
+        return _text(column).try_cast("double")
+    refuse = F.raise_error(
+        F.concat(F.lit("line has neither 13, 15 nor 16 fields: "), F.col(_LINE))
+    )
+    fits = F.size(_FIELDS).isin(*LAYOUTS)
+    return F.when(fits, _text(column).cast("double")).otherwise(refuse.cast("double"))
+
+
+def _corrupt_line() -> Column:
+    """The line itself if it fits no layout or one of its fields is no number."""
+    broken = ~F.size(_FIELDS).isin(*LAYOUTS)
+    for c in ALL_COLUMNS:
+        broken = broken | (_text(c).isNotNull() & _text(c).try_cast("double").isNull())
+    return F.when(broken, F.col(_LINE))
+
+
 def read_xyz(spark: SparkSession, path: str) -> DataFrame:
     """Read headerless x,y,z files."""
     return spark.read.schema(point_schema(XYZ)).option("mode", "FAILFAST").csv(path)
@@ -90,21 +109,3 @@ def write_csv(
 def write_xyz(df: DataFrame, path: str, *, single_file: bool = False) -> None:
     """Write only x, y, z."""
     write_csv(df.select(*XYZ), path, single_file=single_file)
-
-
-def _field(column: str) -> Column:
-    """Text of one column, by the layout that the line's number of fields implies."""
-    text = F.lit(None).cast(T.StringType())
-    for width, names in LAYOUTS.items():
-        if column in names:
-            position = names.index(column) + 1
-            text = F.when(F.size(_FIELDS) == width, F.element_at(_FIELDS, position)).otherwise(text)
-    return F.nullif(F.trim(text), F.lit(""))
-
-
-def _parse(text: Column) -> Column:
-    return text.cast("double")
-
-
-def _try_parse(text: Column) -> Column:
-    return text.try_cast("double")
