@@ -3,9 +3,9 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cloudmill.functions.geometry import at_point, has_coordinates
 from cloudmill.operators.grouping import least_row_per_group
@@ -22,8 +22,6 @@ _CELL = "__pt_cell"
 _CENTRES = "__pt_centres"
 _NEARNESS = "__pt_nearness"
 
-_CENTRE_TYPE = T.ArrayType(T.StructType([T.StructField(c, T.DoubleType()) for c in XYZ]))
-
 
 def farthest_point_sample(
     df: DataFrame,
@@ -74,7 +72,7 @@ def _choose(pool: DataFrame, n: int, start) -> list[Row]:
     depends on the result of an earlier one being kept.
     """
     order = ordering_columns(pool)
-    first = pool if start is None else pool.filter(at_point(start))
+    wanted = F.lit(True) if start is None else at_point(start)
     summary = pool.agg(
         *[F.min(c).alias(f"lo_{c}") for c in XYZ],
         *[F.max(c).alias(f"hi_{c}") for c in XYZ],
@@ -82,8 +80,9 @@ def _choose(pool: DataFrame, n: int, start) -> list[Row]:
             F.percentile_approx(c, [(i + 1) / (CUTS + 1) for i in range(CUTS)], 200).alias(f"q_{c}")
             for c in XYZ
         ],
+        F.min(F.when(wanted, F.struct(*order))).alias("seed"),
     ).first()
-    seed = first.agg(F.min(F.struct(*order)).alias("row")).first()["row"]
+    seed = summary["seed"]
     if seed is None:
         if start is not None:
             raise ValueError(f"no row of the point cloud lies at {tuple(start)}")
@@ -116,12 +115,17 @@ def _choose(pool: DataFrame, n: int, start) -> list[Row]:
 
 def _evaluate(celled: DataFrame, centres: list[tuple], order: list[Column]) -> list[Row]:
     """The farthest row of each given cell, measured to that cell's centres."""
-    spark = celled.sparkSession
-    schema = T.StructType(
-        [T.StructField(_CELL, T.IntegerType()), T.StructField(_CENTRES, _CENTRE_TYPE)]
+    # One row per cell, at most (2 CUTS + 1)^3 of them, sent as a local relation.
+    table = pa.table(
+        {
+            _CELL: pa.array([cell for cell, _ in centres], pa.int32()),
+            _CENTRES: pa.array(
+                [[dict(zip(XYZ, p)) for p in points] for _, points in centres],
+                pa.list_(pa.struct([(c, pa.float64()) for c in XYZ])),
+            ),
+        }
     )
-    # One row per cell, at most (2 CUTS + 1)^3 of them.
-    lists = F.broadcast(spark.createDataFrame(centres, schema))
+    lists = F.broadcast(celled.sparkSession.createDataFrame(table))
 
     def squared(centre: Column) -> Column:
         dx, dy, dz = (F.col(c) - centre.getField(c) for c in XYZ)

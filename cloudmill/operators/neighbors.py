@@ -120,10 +120,10 @@ def _nearest(df: DataFrame, point, k: int, dedupe: bool) -> DataFrame:
         .limit(k)
     )
     reach = shells.agg(F.max("reach").alias("reach")).scalar()
-    # One part in 10^12 of slack: the box must not lose a row to the rounding of sqrt.
-    near = candidates.filter(within_box(point, F.sqrt(reach) * F.lit(1 + 1e-12))).filter(
-        F.col(_DIST) <= reach
-    )
+    # Slack for the rounding of sqrt and for squares too small to represent: the box may
+    # be loose but must not lose a row.
+    half = F.sqrt(F.greatest(reach, F.lit(1e-300))) * F.lit(1 + 1e-12)
+    near = candidates.filter(within_box(point, half)).filter(F.col(_DIST) <= reach)
     if dedupe:
         near = near.dropDuplicates()
     return take_smallest(near, k, [F.col(_DIST), *ordering_columns(df)])

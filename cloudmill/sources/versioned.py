@@ -399,16 +399,24 @@ class PointTable:
 
     def _add_events(self, timeline: "_Timeline", event: str, at, rows: list[tuple]) -> None:
         at = at or datetime.now(timezone.utc)
-        events = [(timeline.length + i, event, at, *row) for i, row in enumerate(rows)]
-        self.spark.createDataFrame(events, _EVENT).coalesce(1).write.mode("append").parquet(
-            f"{self.path}/events"
-        )
+        events = [
+            F.struct(
+                *[
+                    _literal(v).cast(f.dataType).alias(f.name)
+                    for v, f in zip((timeline.length + i, event, at, *row), _EVENT)
+                ]
+            )
+            for i, row in enumerate(rows)
+        ]
+        self.spark.range(0, 1, 1, 1).select(F.inline(F.array(*events))).write.mode(
+            "append"
+        ).parquet(f"{self.path}/events")
 
     def _events(self) -> DataFrame:
         return self._log("events", _EVENT)
 
     def _timeline(self) -> "_Timeline":
-        return _Timeline(self._events().drop("summary").orderBy("sequence").collect())
+        return _Timeline(self._events().drop("summary").collect())
 
     def _log(self, name: str, schema: T.StructType) -> DataFrame:
         path = f"{self.path}/{name}"
@@ -425,6 +433,7 @@ class _Timeline:
     """The events of a table: one small row per commit, rollback or expiry."""
 
     def __init__(self, events: list[Row]):
+        events = sorted(events, key=lambda e: e.sequence)
         self.length = len(events)
         self.commits = {e.snapshot_id: e for e in events if e.event == "commit"}
         self.moves = [e for e in events if e.event != "expire"]
@@ -456,6 +465,12 @@ class _Timeline:
         return when.astimezone().replace(tzinfo=None) if when.tzinfo else when
 
 
+def _literal(value) -> Column:
+    if isinstance(value, dict):
+        return F.create_map(*[F.lit(v) for pair in value.items() for v in pair])
+    return F.lit(value)
+
+
 def list_tables(spark: SparkSession) -> DataFrame:
     """Names of the tables in the session catalog."""
     return spark.sql("SHOW TABLES").select("tableName")
