@@ -1,6 +1,7 @@
 """Farthest-point sampling: greedy choice of the point farthest from all chosen ones."""
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ CORE_ROWS = 20_000
 _CELL = "__pt_cell"
 _CENTRES = "__pt_centres"
 _NEARNESS = "__pt_nearness"
+_COPIES = "__pt_copies"
 
 
 def farthest_point_sample(
@@ -52,12 +54,8 @@ def farthest_point_sample(
         pool = _core_set(pool, n, start)
     chosen = _choose(pool, n, start)
     spark = df.sparkSession
-    sample = spark.createDataFrame(chosen[1:] if reference_compat else chosen, df.schema)
-    if len(chosen) < n:
-        # Every row left coincides with a chosen one: complete by the least rows.
-        rest = pool.exceptAll(spark.createDataFrame(chosen, df.schema))
-        sample = sample.unionByName(take_smallest(rest, n - len(chosen), ordering_columns(rest)))
-    return sample
+    chosen += _least_left(pool, chosen, n)
+    return spark.createDataFrame(chosen[1:] if reference_compat else chosen, df.schema)
 
 
 def _choose(pool: DataFrame, n: int, start) -> list[Row]:
@@ -113,6 +111,24 @@ def _choose(pool: DataFrame, n: int, start) -> list[Row]:
     return chosen
 
 
+def _least_left(pool: DataFrame, chosen: list[Row], n: int) -> list[Row]:
+    """Complete a sample once every row left coincides with a chosen one: least rows first.
+
+    Copies are counted, never listed, and n groups hold enough of them: each has at
+    least one, and no more are used up than rows chosen.
+    """
+    if len(chosen) >= n:
+        return []
+    groups = pool.groupBy(*pool.columns).agg(F.count("*").alias(_COPIES))
+    used = Counter(map(_sort_key, chosen))
+    filled: list[Row] = []
+    for group in take_smallest(groups, n, ordering_columns(pool)).collect():
+        row = Row(*pool.columns)(*[group[c] for c in pool.columns])
+        left = group[_COPIES] - used[_sort_key(row)]
+        filled += [row] * min(left, n - len(chosen) - len(filled))
+    return filled
+
+
 def _evaluate(celled: DataFrame, centres: list[tuple], order: list[Column]) -> list[Row]:
     """The farthest row of each given cell, measured to that cell's centres."""
     # One row per cell, at most (2 CUTS + 1)^3 of them, sent as a local relation.

@@ -1,5 +1,6 @@
 """Total orders, ranks and bounded top-n over a whole DataFrame."""
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,13 @@ PART = "__pt_part"
 LOCAL = "__pt_local"
 INDEX = "__pt_index"
 _TIE = "__pt_tie"
+_PATH = "__pt_path"
+_START = "__pt_start"
+
+# Order of the rows in their files, for `uniform_sample`.
+STORED = "stored"
+# Paths and offsets of this many files are some tens of megabytes.
+BROADCAST_FILES = 200_000
 
 
 def ordering_columns(df: DataFrame, first=XYZ) -> list[Column]:
@@ -62,6 +70,34 @@ def with_global_index(df: DataFrame, order: list[Column]) -> tuple[DataFrame, in
     return ranked, total
 
 
+def with_stored_index(df: DataFrame) -> tuple[DataFrame, int]:
+    """Add the 0-based position of each row over all parquet files of `df`, in path order.
+
+    A row's position is its index in its file plus the rows of the files before, so it
+    depends neither on how files are split into tasks nor on retries. The first pass
+    reads no column; the second adds the offsets by a broadcast of one row per file.
+    """
+    located = df.withColumns(
+        {_PATH: F.col("_metadata.file_path"), LOCAL: F.col("_metadata.row_index")}
+    )
+    files = (
+        located.groupBy(_PATH)
+        .agg(F.count("*").alias("rows"), F.max(LOCAL).alias("last"))
+        .orderBy(_PATH)
+        .toArrow()
+    )
+    rows = files["rows"].to_numpy()
+    if (files["last"].to_numpy() + 1 != rows).any():
+        raise ValueError("stored positions need a table without filters")
+    ends = rows.cumsum()
+    starts = pa.table({_PATH: files[_PATH], _START: pa.array(ends - rows, pa.int64())})
+    offsets = df.sparkSession.createDataFrame(starts)
+    if len(rows) <= BROADCAST_FILES:
+        offsets = F.broadcast(offsets)
+    ranked = located.join(offsets, _PATH).withColumn(INDEX, F.col(_START) + F.col(LOCAL))
+    return ranked.drop(_PATH, _START, LOCAL), int(ends[-1]) if len(ends) else 0
+
+
 def _position_in_partition() -> Column:
     """The generated id holds the partition in its upper 31 bits, the position below."""
     return F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))

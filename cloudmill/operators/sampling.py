@@ -5,15 +5,17 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudmill.functions.draws import DRAW_BITS, hash_draw
+from cloudmill.functions.draws import hash_draw
 from cloudmill.functions.geometry import has_coordinates
 from cloudmill.operators.grouping import least_row_per_group
 from cloudmill.operators.ordering import (
     INDEX,
+    STORED,
     TOP_K_ROWS,
     ordering_columns,
     take_smallest,
     with_global_index,
+    with_stored_index,
 )
 from cloudmill.schema import XYZ
 
@@ -26,14 +28,21 @@ def uniform_sample(df: DataFrame, n: int, *, mode: str = "exact", order_by=None)
 
     "exact" returns n rows. "stride" keeps every round(N/n)-th row, so its size is
     only near n. With n at or above the row count the cloud is returned unchanged.
+
+    `order_by=STORED` takes rows as they lie in the parquet files read by `df`, without
+    any shuffle; after a z-order write these samples are also spread evenly in space.
     """
     _check_size(n)
     if mode not in ("exact", "stride"):
         raise ValueError("mode is 'exact' or 'stride'")
-    total = df.count()
+    if order_by == STORED:
+        ranked, total = with_stored_index(df)
+    else:
+        total = df.count()
     if n >= total:
         return df
-    ranked, total = with_global_index(df, ordering_columns(df, order_by or XYZ))
+    if order_by != STORED:
+        ranked, total = with_global_index(df, ordering_columns(df, order_by or XYZ))
     i = F.col(INDEX)
     if mode == "stride":
         keep = i % F.lit(math.floor(total / n + 0.5)) == 0
@@ -51,24 +60,22 @@ def random_sample(
     rows share a draw unless a unique key is given. `draw` replaces the generator by
     a bigint column in [0, 2^60).
 
-    One pass counts the draws by bit length, which bounds the n-th smallest from above
-    by a power of two: about 2n rows survive the filter, and only those are sorted.
+    One pass counts the draws by order of magnitude, which bounds the n-th smallest from
+    above: about 2n rows survive the filter, and only those are sorted.
     """
     _check_size(n)
     if draw is None:
         draw = hash_draw(seed, [F.col(k) for k in key] if key else ordering_columns(df))
-    by_length = (
-        df.groupBy(F.length(F.bin(draw)).alias("bits")).agg(F.count("*").alias("rows")).collect()
-    )
-    if n >= sum(r["rows"] for r in by_length):
+    magnitude = F.floor(F.log2(draw + 1))
+    counted = df.groupBy(magnitude.alias("m")).agg(F.count("*").alias("rows")).collect()
+    if n >= sum(r["rows"] for r in counted):
         return df
-    kept, cutoff = 0, DRAW_BITS
-    for r in sorted(by_length, key=lambda r: r["bits"]):
-        kept += r["rows"]
+    kept, cutoff = 0, None
+    for r in sorted(counted, key=lambda r: r["m"]):
+        kept, cutoff = kept + r["rows"], r["m"]
         if kept >= n:
-            cutoff = r["bits"]
             break
-    low = df.filter(draw < F.lit(1 << cutoff))
+    low = df.filter(magnitude <= cutoff)
     order = [draw, *ordering_columns(df)]
     if kept <= TOP_K_ROWS:
         return take_smallest(low, n, order)

@@ -3,36 +3,46 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudmill.schema import ALL_COLUMNS
-
 # One row per lineitem row; {days} is the only part that engines spell differently.
-_POINTS_SQL = """
-SELECT concat_ws('-', cast(l_orderkey AS varchar(20)), cast(l_linenumber AS varchar(20)),
-                      cast(l_partkey AS varchar(20)), cast(l_suppkey AS varchar(20))) AS point_id,
-       l_extendedprice / 1000 AS x,
-       l_quantity AS y,
-       abs(l_discount) * 100 AS z,
-       cast(l_partkey % 256 AS double) AS intensity,
-       cast(l_linenumber AS double) AS returnNumber,
-       cast(7 AS double) AS numberOfReturns,
-       CASE WHEN l_linestatus = 'F' THEN cast(1 AS double) ELSE cast(0 AS double) END AS scanDirectionFlag,
-       CASE WHEN l_returnflag = 'R' THEN cast(1 AS double) ELSE cast(0 AS double) END AS edgeOfFlightLine,
-       cast(l_suppkey % 10 AS double) AS classification,
-       cast((l_linenumber - 4) * 5 AS double) AS scanAngleRank,
-       cast(0 AS double) AS userData,
-       cast(l_orderkey % 100 AS double) AS pointSourceId,
-       cast({days} AS double) * 86400 AS gpsTime,
-       cast((l_partkey * 257) % 65536 AS double) AS red,
-       cast((l_suppkey * 257) % 65536 AS double) AS green,
-       cast((l_orderkey * 257) % 65536 AS double) AS blue,
-       cast(year(l_shipdate) AS int) AS survey_year
-FROM {source}
-"""
+_POINT = {
+    "point_id": (
+        "concat_ws('-', cast(l_orderkey AS varchar(20)), cast(l_linenumber AS varchar(20)), "
+        "cast(l_partkey AS varchar(20)), cast(l_suppkey AS varchar(20)))"
+    ),
+    "x": "l_extendedprice / 1000",
+    "y": "l_quantity",
+    "z": "abs(l_discount) * 100",  # the source holds -0.0
+    "intensity": "cast(l_partkey % 256 AS double)",
+    "returnNumber": "cast(l_linenumber AS double)",
+    "numberOfReturns": "cast(7 AS double)",
+    "scanDirectionFlag": (
+        "CASE WHEN l_linestatus = 'F' THEN cast(1 AS double) ELSE cast(0 AS double) END"
+    ),
+    "edgeOfFlightLine": (
+        "CASE WHEN l_returnflag = 'R' THEN cast(1 AS double) ELSE cast(0 AS double) END"
+    ),
+    "classification": "cast(l_suppkey % 10 AS double)",
+    "scanAngleRank": "cast((l_linenumber - 4) * 5 AS double)",
+    "userData": "cast(0 AS double)",
+    "pointSourceId": "cast(l_orderkey % 100 AS double)",
+    "gpsTime": "cast({days} AS double) * 86400",
+    "red": "cast((l_partkey * 257) % 65536 AS double)",
+    "green": "cast((l_suppkey * 257) % 65536 AS double)",
+    "blue": "cast((l_orderkey * 257) % 65536 AS double)",
+    "survey_year": "cast(year(l_shipdate) AS int)",
+}
+
 
-COLUMNS = ("point_id",) + ALL_COLUMNS + ("survey_year",)
+def _point_columns(days: str) -> list[str]:
+    return [f"{text.format(days=days)} AS {name}" for name, text in _POINT.items()]
 
-DUCKDB_POINTS = _POINTS_SQL.format(
-    days="date_diff('day', date '1995-01-01', l_shipdate)", source="lineitem"
+
+COLUMNS = tuple(_POINT)
+
+DUCKDB_POINTS = (
+    "SELECT "
+    + ", ".join(_point_columns("date_diff('day', date '1995-01-01', l_shipdate)"))
+    + " FROM lineitem"
 )
 
 # First three embedding components as coordinates.
@@ -45,10 +55,8 @@ FROM embeddings
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(
-        _POINTS_SQL.format(days="datediff(l_shipdate, date'1995-01-01')", source="{lineitem}"),
-        lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"),
-    )
+    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return lineitem.selectExpr(*_point_columns("datediff(l_shipdate, date'1995-01-01')"))
 
 
 def embedded_points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from cloudmill.functions.draws import md5_draw, md5_normals
 from cloudmill.operators.clustering import add_morton
 from cloudmill.operators.farthest import farthest_point_sample
 from cloudmill.operators.neighbors import ball_query, ball_query_color, knn, knn_color
+from cloudmill.operators.ordering import STORED
 from cloudmill.operators.sampling import random_sample, uniform_sample, voxel_sample
 from cloudmill.operators.transform import jitter, normalize, rotate_z
 from cloudmill.plans.pipeline import run_pipeline
@@ -178,6 +179,17 @@ def _uniform_stride(spark, sf_dir):
     return uniform_sample(points(spark, sf_dir), SAMPLE, mode="stride")
 
 
+@query(
+    "uniform_stored",
+    f"""WITH points AS ({DUCKDB_POINTS}),
+             stored AS (SELECT *, row_number() OVER () - 1 AS i, count(*) OVER () AS total FROM points)
+        SELECT {NAMES} FROM stored
+        WHERE (i + 1) * {SAMPLE} // total > i * {SAMPLE} // total""",
+)
+def _uniform_stored(spark, sf_dir):
+    return uniform_sample(points(spark, sf_dir), SAMPLE, order_by=STORED)
+
+
 @query(
     "random",
     on_points(

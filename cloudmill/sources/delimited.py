@@ -35,13 +35,20 @@ def read_delimited(
         .option("recursiveFileLookup", "true")
         .text(path)
         .select(F.trim("value").alias(_LINE))
-        .filter(F.length(_LINE) > 0)
-        .withColumn(_FIELDS, F.split(_LINE, ",", -1))
-    )
-    points = lines.filter(_is_point()).select(
-        *[_value(c, corrupt_column is None).alias(c) for c in columns],
-        *([_corrupt_line().alias(corrupt_column)] if corrupt_column else []),
+        .filter((F.length(_LINE) > 0) & _is_point(strict=corrupt_column is None))
     )
+    fields = lines.withColumn(_FIELDS, _aligned(F.split(_LINE, ",", -1)))
+    text = {c: F.nullif(F.col(_FIELDS)[i], F.lit("")) for i, c in enumerate(ALL_COLUMNS)}
+    if corrupt_column is None:
+        points = fields.select(*[text[c].cast("double").alias(c) for c in columns])
+    else:
+        broken = F.col(_FIELDS).isNull()
+        for t in text.values():
+            broken = broken | (t.isNotNull() & t.try_cast("double").isNull())
+        points = fields.select(
+            *[text[c].try_cast("double").alias(c) for c in columns],
+            F.when(broken, F.col(_LINE)).alias(corrupt_column),
+        )
     changes = {}
     if whole_numbers:
         changes |= {c: F.col(c).cast("int").cast("double") for c in columns if c in WHOLE_NUMBERS}
@@ -54,43 +61,38 @@ def read_delimited(
     return points.withColumns(changes) if changes else points
 
 
-def _is_point() -> Column:
-    """False for a header of a known layout; a header of any other kind is an error."""
-    first = F.lower(F.element_at(_FIELDS, 1))
-    header = first.rlike(r'^\s*"?[a-z_]') & ~first.isin("nan", "infinity", "inf")
-    known = F.lower(F.regexp_replace(_LINE, r'["\s]', "")).isin(
+def _is_point(strict: bool) -> Column:
+    """False for a header of a known layout; a header of any other kind is an error.
+
+    With `strict`, so is a line of a width no layout has. Being part of the row filter,
+    the check holds whichever columns are read.
+    """
+    line = F.col(_LINE)
+    header = line.rlike(r'^"?[A-Za-z_]') & ~F.lower(line).rlike("^(nan|inf)")
+    known = F.lower(F.regexp_replace(line, r'["\s]', "")).isin(
         *[",".join(names).lower() for names in LAYOUTS.values()]
     )
-    refuse = F.raise_error(F.concat(F.lit("header matches no known layout: "), F.col(_LINE)))
-    return F.when(header & ~known, refuse.cast("boolean")).otherwise(~header)
-
-
-def _text(column: str) -> Column:
-    """Text of one column, by the layout that the line's number of fields implies."""
-    text = F.lit(None).cast(T.StringType())
-    for width, names in LAYOUTS.items():
-        if column in names:
-            position = names.index(column) + 1
-            text = F.when(F.size(_FIELDS) == width, F.element_at(_FIELDS, position)).otherwise(text)
-    return F.nullif(F.trim(text), F.lit(""))
+    point = F.when(header & ~known, _refuse("header matches no known layout: ")).otherwise(~header)
+    if strict:
+        # Commas are counted in the text: a filter on the split fields would split twice.
+        commas = F.length(line) - F.length(F.replace(line, F.lit(","), F.lit("")))
+        fits = (commas + 1).isin(*LAYOUTS)
+        point = F.when(fits, point).otherwise(_refuse("line has neither 13, 15 nor 16 fields: "))
+    return point
 
 
-def _value(column: str, strict: bool) -> Column:
-    if not strict:
-        return _text(column).try_cast("double")
-    refuse = F.raise_error(
-        F.concat(F.lit("line has neither 13, 15 nor 16 fields: "), F.col(_LINE))
-    )
-    fits = F.size(_FIELDS).isin(*LAYOUTS)
-    return F.when(fits, _text(column).cast("double")).otherwise(refuse.cast("double"))
+def _refuse(reason: str) -> Column:
+    return F.raise_error(F.concat(F.lit(reason), F.col(_LINE))).cast("boolean")
 
 
-def _corrupt_line() -> Column:
-    """The line itself if it fits no layout or one of its fields is no number."""
-    broken = ~F.size(_FIELDS).isin(*LAYOUTS)
-    for c in ALL_COLUMNS:
-        broken = broken | (_text(c).isNotNull() & _text(c).try_cast("double").isNull())
-    return F.when(broken, F.col(_LINE))
+def _aligned(fields: Column) -> Column:
+    """Fields in the order of ALL_COLUMNS, NULL where the line's layout lacks one."""
+    missing = F.lit(None).cast(T.StringType())
+    aligned = F.lit(None).cast(T.ArrayType(T.StringType()))
+    for width, names in LAYOUTS.items():
+        placed = [fields[names.index(c)] if c in names else missing for c in ALL_COLUMNS]
+        aligned = F.when(F.size(fields) == width, F.array(*placed)).otherwise(aligned)
+    return aligned
 
 
 def read_xyz(spark: SparkSession, path: str) -> DataFrame:

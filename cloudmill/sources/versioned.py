@@ -27,6 +27,8 @@ from cloudmill.operators.clustering import cluster_zorder
 from cloudmill.session import scratch_path
 from cloudmill.sources.delimited import write_csv
 
+Moment = datetime | int | str
+
 _ADDED_BY = "added_by"
 _FILE = "__pt_file"
 
@@ -90,8 +92,11 @@ class PointTable:
 
     # ---- reading
 
-    def read(self, snapshot_id: int | None = None, *, as_of: datetime | None = None) -> DataFrame:
-        """Points of the current snapshot, of `snapshot_id`, or of the one current at `as_of`."""
+    def read(self, snapshot_id: int | None = None, *, as_of: Moment | None = None) -> DataFrame:
+        """Points of the current snapshot, of `snapshot_id`, or of the one current at `as_of`.
+
+        Times are datetimes, epoch milliseconds (also as text) or timestamps as text.
+        """
         if snapshot_id is not None and as_of is not None:
             raise ValueError("give a snapshot or a time, not both")
         timeline = self._timeline()
@@ -171,21 +176,25 @@ class PointTable:
     def current_snapshot(self) -> int | None:
         return self._timeline().current
 
-    def snapshot_at(self, when: datetime) -> int:
+    def snapshot_at(self, when: Moment) -> int:
         """The snapshot that was current at `when`."""
         return self._timeline().current_at(when)
 
     # ---- changing
 
-    def append(self, df: DataFrame, *, at: datetime | None = None) -> int:
-        """Add rows; returns the new snapshot."""
+    def append(
+        self, df: DataFrame, *, zorder_bits: int | None = None, at: datetime | None = None
+    ) -> int:
+        """Add rows; returns the new snapshot. `zorder_bits` overrides the table's own."""
         key = self._new_key()
-        return self._commit(key, "append", self._write(df, key), at)
+        return self._commit(key, "append", self._write(df, key, zorder_bits), at)
 
-    def overwrite_partitions(self, df: DataFrame, *, at: datetime | None = None) -> int:
+    def overwrite_partitions(
+        self, df: DataFrame, *, zorder_bits: int | None = None, at: datetime | None = None
+    ) -> int:
         """Replace the partitions that occur in `df`; without partitioning, all rows."""
         key = self._new_key()
-        added = self._write(df, key)
+        added = self._write(df, key, zorder_bits)
         timeline = self._timeline()
         live = self._live_files(timeline, timeline.current)
         if self.partition_by:
@@ -233,7 +242,7 @@ class PointTable:
         parent = timeline.commits[snapshot_id].parent_id
         self._add_events(timeline, "rollback", at, [(snapshot_id, parent, None, None, None)])
 
-    def rollback_to_time(self, when: datetime, *, at: datetime | None = None) -> None:
+    def rollback_to_time(self, when: Moment, *, at: datetime | None = None) -> None:
         """Roll back to the latest ancestor committed before `when`."""
         timeline = self._timeline()
         for snapshot in timeline.line(timeline.current):
@@ -242,7 +251,7 @@ class PointTable:
         raise ValueError(f"no ancestor of the current snapshot was committed before {when}")
 
     def expire_snapshots(
-        self, older_than: datetime, *, at: datetime | None = None, delete_files: bool = False
+        self, older_than: Moment, *, at: datetime | None = None, delete_files: bool = False
     ) -> list[int]:
         """Expire snapshots committed before `older_than`, except the current one.
 
@@ -310,14 +319,15 @@ class PointTable:
             columns.append(_relative_path().alias(_FILE))
         return points.select(*columns)
 
-    def _write(self, df: DataFrame, key: str) -> DataFrame:
+    def _write(self, df: DataFrame, key: str, zorder_bits: int | None = None) -> DataFrame:
         """Write `df` as data of commit `key` and log its files; returns the log rows."""
         names = self.schema.names
         if set(df.columns) != set(names):
             raise ValueError(f"columns {df.columns} do not match the table's {names}")
         rows = df.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in self.schema])
-        if self.zorder_bits:
-            rows = cluster_zorder(rows, self.zorder_bits, within=self.partition_by)
+        bits = zorder_bits or self.zorder_bits
+        if bits:
+            rows = cluster_zorder(rows, bits, within=self.partition_by)
         elif self.partition_by:
             # Few files per partition; adaptive execution splits the partitions that are big.
             rows = rows.hint("rebalance", *self.partition_by)
@@ -441,7 +451,7 @@ class _Timeline:
         self.readable = [s for s in self.commits if s not in expired]
         self.current = self.moves[-1].snapshot_id if self.moves else None
 
-    def current_at(self, when: datetime) -> int:
+    def current_at(self, when: Moment) -> int:
         past = [e.snapshot_id for e in self.moves if e.at <= self.moment(when)]
         if not past:
             raise ValueError(f"the table had no snapshot at {when}")
@@ -460,8 +470,12 @@ class _Timeline:
             raise ValueError(f"snapshot {snapshot_id} does not exist or has expired")
 
     @staticmethod
-    def moment(when: datetime) -> datetime:
+    def moment(when: Moment) -> datetime:
         """As Spark returns timestamps: local time without a zone."""
+        if isinstance(when, int) or isinstance(when, str) and when.isdigit():
+            when = datetime.fromtimestamp(int(when) / 1000, timezone.utc)
+        elif isinstance(when, str):
+            when = datetime.fromisoformat(when)
         return when.astimezone().replace(tzinfo=None) if when.tzinfo else when
 
 

@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import rows
+from conftest import plan, rows
 from pyspark.sql import functions as F
 
 from cloudmill import farthest_point_sample, random_sample, uniform_sample, voxel_sample
@@ -37,6 +37,22 @@ def test_uniform_with_products_beyond_64_bits(monkeypatch, xyz):
     assert df.select(big.alias("b")).first()["b"] == (10**12 - 1) * 10**11 // 10**12
 
 
+def test_uniform_in_stored_order(spark, tmp_path):
+    """Positions follow the files, however they are split into tasks."""
+    df = spark.range(1000).selectExpr("CAST(id AS double) AS x", "0D AS y", "0D AS z")
+    path = str(tmp_path / "files")
+    df.repartitionByRange(3, "x").sortWithinPartitions("x").write.parquet(path)
+    stored = spark.read.parquet(path)
+    sample = uniform_sample(stored.select("x", "y", "z"), 4, order_by=ordering.STORED)
+    assert sample.columns == ["x", "y", "z"]
+    assert rows(sample.select("x")) == [(249.0,), (499.0,), (749.0,), (999.0,)]
+    assert uniform_sample(stored, 300, mode="stride", order_by=ordering.STORED).count() == 334
+    assert uniform_sample(stored, 1000, order_by=ordering.STORED) is stored
+    assert "Exchange hashpartitioning" not in plan(sample)
+    with pytest.raises(ValueError, match="without filters"):
+        uniform_sample(stored.filter("x <> 5"), 4, order_by=ordering.STORED)
+
+
 @pytest.mark.parametrize("n", [5, 500, 3999])
 def test_uniform_splits_equal_rows(spark, n):
     """A third of all rows are one point; no task may get all of them."""
@@ -66,8 +82,8 @@ def test_ranked_partitions_are_balanced_with_equal_rows(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     sizes = [r["count"] for r in spark.read.parquet(written[0]).groupBy(ordering.PART).count().collect()]
-    assert sum(sizes) == 30_000 and len(sizes) >= 6
-    assert max(sizes) < 2 * 30_000 / 8
+    assert sum(sizes) == 30_000 and len(sizes) == 4
+    assert max(sizes) < 1.5 * 30_000 / 4
 
 
 def test_random_sizes_subset_and_seed(cloud):
@@ -198,6 +214,12 @@ def test_farthest_sizes_start_and_compat(xyz):
         farthest_point_sample(df, 0)
 
 
+def test_farthest_completes_with_copies(xyz):
+    data = [(1.0, 0.0, 0.0)] * 300 + [(2.0, 0.0, 0.0)] * 2 + [(3.0, 0.0, 0.0)]
+    got = rows(farthest_point_sample(xyz(data, 4), 50))
+    assert got == [(1, 0, 0)] * 48 + [(2, 0, 0), (3, 0, 0)]
+
+
 def test_farthest_skips_missing_coordinates(xyz):
     df = xyz([(0, 0, 0), (1, 0, 0), (None, 0, 0), (NAN, 0, 0)])
     assert rows(farthest_point_sample(df, 3)) == [(0, 0, 0), (1, 0, 0)]

@@ -156,6 +156,9 @@ def test_time_travel_rollback_and_expiry(make, batch):
         table.append(batch((i, 2000, "a")), at=utc(2010 + i))
     assert ids(table.read(as_of=utc(2013, 6))) == [1.0, 2.0, 3.0]
     assert ids(table.read(as_of=utc(2013))) == [1.0, 2.0, 3.0]
+    millis = int(utc(2012, 6).timestamp() * 1000)
+    assert table.snapshot_at(millis) == table.snapshot_at(str(millis)) == 2
+    assert table.snapshot_at("2012-06-01 00:00:00") == table.snapshot_at("2012-06-01T00:00:00+00:00")
     with pytest.raises(ValueError, match="no snapshot"):
         table.read(as_of=utc(2009))
     with pytest.raises(ValueError):
@@ -231,7 +234,8 @@ def test_reads_are_plain_scans_with_pushdown(make, batch):
 
 def test_zordered_table(make, batch):
     table = make(name="z", zorder_bits=10)
-    table.append(batch(*[(i, 2000 + i % 2, "a") for i in range(50)]))
+    table.append(batch(*[(i, 2000 + i % 2, "a") for i in range(25)]))
+    table.append(batch(*[(i, 2000 + i % 2, "a") for i in range(25, 50)]), zorder_bits=5)
     table.delete_where("x < 10")
     assert ids(table.read()) == [float(i) for i in range(10, 50)]
 
