@@ -21,7 +21,7 @@ from cloudmill.plans.queries import QUERIES
 
 HEADLINE = (
     "knn", "knn_color", "ball", "ball_color",
-    "uniform_exact", "random", "voxel", "fps", "fps_coreset",
+    "uniform_exact", "uniform_stored", "random", "voxel", "fps", "fps_coreset",
     "normalize", "rotate", "jitter", "zorder_key",
     "csv_roundtrip", "scan_xyz", "asof_read", "incremental_read", "delete_where",
     "partitions", "pipeline_asof_voxel",

@@ -31,15 +31,12 @@ def has_coordinates() -> Column:
     return reduce(lambda a, b: a & b, (F.col(c).isNotNull() & ~F.isnan(c) for c in XYZ))
 
 
-def within_box(point, radius) -> Column:
-    """Axis-aligned box around a ball: lets parquet skip row groups by min/max.
-
-    `radius` is a number or a Column (for instance a scalar subquery).
-    """
-    half = radius if isinstance(radius, Column) else F.lit(float(radius))
+def within_box(point, radius: float) -> Column:
+    """Axis-aligned box around a ball: lets parquet skip row groups by min/max."""
+    half = float(radius)
     return reduce(
         lambda a, b: a & b,
-        (F.col(c).between(F.lit(v) - half, F.lit(v) + half) for c, v in zip(XYZ, _floats(point))),
+        (F.col(c).between(F.lit(v - half), F.lit(v + half)) for c, v in zip(XYZ, _floats(point))),
     )
 
 

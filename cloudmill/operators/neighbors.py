@@ -34,10 +34,7 @@ def knn(df: DataFrame, point, k: int, *, dedupe: bool = True, require_target: bo
     Ties go to the least row by (x, y, z, remaining columns). With `dedupe`, equal
     rows count once.
     """
-    _check_count(k)
-    if require_target:
-        _require_target(df, point)
-    return _nearest(df, point, k, dedupe).drop(_DIST)
+    return _nearest(df, point, k, dedupe, require_target).drop(_DIST)
 
 
 def knn_color(df: DataFrame, point, k: int, *, require_target: bool = True) -> DataFrame:
@@ -45,14 +42,10 @@ def knn_color(df: DataFrame, point, k: int, *, require_target: bool = True) -> D
 
     `k` counts distinct rows; copies of a neighbour share its colour.
     """
-    _check_count(k)
-    if require_target:
-        _require_target(df, point)
     order = ordering_columns(df)
     rank = F.struct(squared_distance(point).alias(_DIST), *order)
-    farthest = (
-        _nearest(df, point, k, dedupe=True).agg(F.max(F.struct(_DIST, *order)).alias("rank")).scalar()
-    )
+    nearest = _nearest(df, point, k, True, require_target)
+    farthest = nearest.agg(F.max(F.struct(_DIST, *order)).alias("rank")).scalar()
     # The plain distance test settles nearly every row; the full key only breaks ties.
     is_neighbour = (
         has_coordinates()
@@ -102,28 +95,43 @@ def ball_query_color(
     return _paint(df.filter(at_point(point) | outside).unionByName(once), role, (RED, BLUE))
 
 
-def _nearest(df: DataFrame, point, k: int, dedupe: bool) -> DataFrame:
+def _nearest(df: DataFrame, point, k: int, dedupe: bool, require_target: bool) -> DataFrame:
     """Top k with the distance column kept.
 
     De-duplicating a whole cloud would shuffle all of it. Instead a first pass over
     x, y, z groups distances into thin shells. Rows in different shells differ, so
     the k nearest non-empty shells hold at least k distinct rows, and nothing beyond
-    them can be among the k nearest.
+    them can be among the k nearest. The same pass tells whether the target exists.
+
+    One number comes back, so that the box around the answer is made of literals and
+    the second pass can skip row groups.
     """
-    candidates = df.filter(has_coordinates() & ~at_point(point)).withColumn(
-        _DIST, squared_distance(point)
-    )
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    is_target = F.coalesce(at_point(point), F.lit(False))
     shells = (
-        candidates.groupBy(_shell(F.col(_DIST), k).alias(_SHELL))
+        df.filter(has_coordinates())
+        .withColumn(_DIST, squared_distance(point))
+        .groupBy(F.when(~is_target, _shell(F.col(_DIST), k)).alias(_SHELL))
         .agg(F.max(_DIST).alias("reach"))
-        .orderBy(_SHELL)
-        .limit(k)
+        # The target's own group is NULL and sorts first.
+        .orderBy(F.col(_SHELL).asc_nulls_first())
+        .limit(k + 1)
     )
-    reach = shells.agg(F.max("reach").alias("reach")).scalar()
+    found = shells.agg(
+        F.max("reach").alias("reach"), F.count_if(F.col(_SHELL).isNull()).alias("targets")
+    ).first()
+    if require_target and not found["targets"]:
+        raise ValueError(f"no row of the point cloud lies at {tuple(point)}")
+    reach = 0.0 if found["reach"] is None else found["reach"]
     # Slack for the rounding of sqrt and for squares too small to represent: the box may
     # be loose but must not lose a row.
-    half = F.sqrt(F.greatest(reach, F.lit(1e-300))) * F.lit(1 + 1e-12)
-    near = candidates.filter(within_box(point, half)).filter(F.col(_DIST) <= reach)
+    half = math.sqrt(max(reach, 1e-300)) * (1 + 1e-12)
+    near = (
+        df.filter(within_box(point, half) & has_coordinates() & ~at_point(point))
+        .withColumn(_DIST, squared_distance(point))
+        .filter(F.col(_DIST) <= F.lit(reach))
+    )
     if dedupe:
         near = near.dropDuplicates()
     return take_smallest(near, k, [F.col(_DIST), *ordering_columns(df)])
@@ -152,7 +160,3 @@ def _require_target(df: DataFrame, point) -> None:
     if df.filter(at_point(point)).isEmpty():
         raise ValueError(f"no row of the point cloud lies at {tuple(point)}")
 
-
-def _check_count(k: int) -> None:
-    if k < 1:
-        raise ValueError("k must be at least 1")

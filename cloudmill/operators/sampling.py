@@ -2,8 +2,11 @@
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cloudmill.functions.draws import hash_draw
 from cloudmill.functions.geometry import has_coordinates
@@ -19,7 +22,14 @@ from cloudmill.operators.ordering import (
 )
 from cloudmill.schema import XYZ
 
+# Up to this many samples are looked up in slabs of the cloud instead of sorting all of it.
+PRUNED_SAMPLE = 16_384
+# Slabs are counted inside each task first, so they must be few beside a task's rows.
+MAX_SLABS = 1 << 16
+
 _BOX = "__pt_box"
+_SLAB = "__pt_slab"
+_SHIFT = "__pt_shift"
 _CELL = tuple(f"__pt_cell_{c}" for c in XYZ)
 
 
@@ -35,20 +45,83 @@ def uniform_sample(df: DataFrame, n: int, *, mode: str = "exact", order_by=None)
     _check_size(n)
     if mode not in ("exact", "stride"):
         raise ValueError("mode is 'exact' or 'stride'")
+    i = F.col(INDEX)
     if order_by == STORED:
         ranked, total = with_stored_index(df)
+        if n >= total:
+            return df
     else:
-        total = df.count()
-    if n >= total:
-        return df
-    if order_by != STORED:
-        ranked, total = with_global_index(df, ordering_columns(df, order_by or XYZ))
-    i = F.col(INDEX)
+        order = ordering_columns(df, order_by or XYZ)
+        lead = order[0].cast("double") if _is_number(df, order_by or XYZ) else None
+        total, lo, hi = _extent(df, lead)
+        if n >= total:
+            return df
+        if n <= PRUNED_SAMPLE and lo is not None and lo < hi < math.inf and lo > -math.inf:
+            pool = _slabs_with_samples(df, lead, lo, hi, _sampled_ranks(n, total, mode))
+        else:
+            pool = df.withColumn(_SHIFT, F.lit(0).cast("bigint"))
+        ranked, _ = with_global_index(pool, order)
+        i = F.col(INDEX) + F.col(_SHIFT)
     if mode == "stride":
-        keep = i % F.lit(math.floor(total / n + 0.5)) == 0
+        keep = i % F.lit(_stride(n, total)) == 0
     else:
         keep = _bucket(i + 1, n, total) > _bucket(i, n, total)
-    return ranked.filter(keep).drop(INDEX)
+    return ranked.filter(keep).drop(INDEX, _SHIFT)
+
+
+def _extent(df: DataFrame, lead: Column | None) -> tuple:
+    """Row count and range of the leading order column."""
+    if lead is None:
+        return df.count(), None, None
+    known = F.when(~F.isnan(lead), lead)
+    return tuple(df.agg(F.count("*"), F.min(known), F.max(known)).first())
+
+
+def _slabs_with_samples(df: DataFrame, lead: Column, lo: float, hi: float, ranks) -> DataFrame:
+    """The rows of those slabs of the leading column that hold a sampled rank.
+
+    Slabs follow the order, so counting rows per slab gives the ranks each one covers.
+    The rest need not be sorted: with few samples nearly all of the cloud stays where it
+    is. `_SHIFT` is what to add to a rank among the rows kept for the rank among all.
+    """
+    slabs = min(MAX_SLABS, 64 * len(ranks))
+    step = F.floor((lead - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(slabs)))
+    slab = (
+        F.when(lead.isNull(), F.lit(-1))
+        .when(F.isnan(lead), F.lit(slabs))
+        .otherwise(F.least(step, F.lit(slabs - 1)))
+        .cast("int")
+    )
+    placed = df.withColumn(_SLAB, slab)
+    sizes = placed.groupBy(_SLAB).agg(F.count("*").alias("rows")).orderBy(_SLAB).toArrow()
+    rows = sizes["rows"].to_numpy()
+    ends = rows.cumsum()
+    wanted = np.unique(np.searchsorted(ends, np.asarray(ranks, dtype=np.int64), side="right"))
+    kept_before = rows[wanted].cumsum() - rows[wanted]
+    shifts = pa.table(
+        {
+            _SLAB: pa.array(sizes[_SLAB].to_numpy()[wanted], pa.int32()),
+            _SHIFT: pa.array(ends[wanted] - rows[wanted] - kept_before, pa.int64()),
+        }
+    )
+    # One row per sample at most, and there are few samples here.
+    return placed.join(F.broadcast(df.sparkSession.createDataFrame(shifts)), _SLAB).drop(_SLAB)
+
+
+def _sampled_ranks(n: int, total: int, mode: str) -> list[int]:
+    if mode == "stride":
+        return list(range(0, total, _stride(n, total)))
+    return [-(-(j + 1) * total // n) - 1 for j in range(n)]
+
+
+def _stride(n: int, total: int) -> int:
+    """total / n, rounded half up."""
+    return math.floor(total / n + 0.5)
+
+
+def _is_number(df: DataFrame, order_by) -> bool:
+    lead = next((c for c in order_by if c in df.columns), df.columns[0])
+    return isinstance(df.schema[lead].dataType, T.DoubleType | T.FloatType)
 
 
 def random_sample(

@@ -120,9 +120,14 @@ def test_results_do_not_depend_on_partitioning(cloud):
 def test_box_reaches_the_scan(spark, cloud, tmp_path):
     path = str(tmp_path / "stored")
     cloud.write.parquet(path)
-    text = plan(ball_query(spark.read.parquet(path), (1.0, 2.0, 3.0), 5.0, require_target=False))
+    stored = spark.read.parquet(path)
+    text = plan(ball_query(stored, (1.0, 2.0, 3.0), 5.0, require_target=False))
     assert "GreaterThanOrEqual(x,-4.0)" in text and "LessThanOrEqual(z,8.0)" in text
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    text = plan(knn(stored, (1.0, 2.0, 3.0), 5, require_target=False))
+    assert "GreaterThanOrEqual(x," in text and "LessThanOrEqual(z," in text
+    for query in (knn_color, ball_query_color):
+        text = plan(query(stored, (1.0, 2.0, 3.0), 5, require_target=False))
+        assert "Join" not in text and "CartesianProduct" not in text
 
 
 def test_distances_match_math(xyz):

@@ -30,6 +30,20 @@ def test_uniform_is_evenly_spaced(xyz):
     assert uniform_sample(df, 40, mode="stride").count() == 34
 
 
+@pytest.mark.parametrize("mode", ["exact", "stride"])
+def test_uniform_is_the_same_with_and_without_slabs(cloud, xyz, monkeypatch, mode):
+    gauss = np.random.default_rng(2).standard_cauchy((700, 3))
+    odd = xyz([*map(tuple, gauss), *[(None, 1, 1)] * 9, *[(NAN, 1, 1)] * 9, *[(0.5, 0, 0)] * 300], 5)
+    flat = xyz([(1.0, float(i), 0.0) for i in range(50)])
+    infinite = xyz([(math.inf, 0, 0), (-math.inf, 0, 0), *[(float(i), 0, 0) for i in range(30)]])
+    cases = [(cloud, 37), (cloud, 5000), (odd, 1), (odd, 17), (odd, 400), (flat, 7), (infinite, 5)]
+    slabs = [rows(uniform_sample(df, n, mode=mode)) for df, n in cases]
+    by_name = rows(uniform_sample(cloud, 9, mode=mode, order_by=["point_id"]))
+    monkeypatch.setattr(sampling, "PRUNED_SAMPLE", 0)
+    assert slabs == [rows(uniform_sample(df, n, mode=mode)) for df, n in cases]
+    assert by_name == rows(uniform_sample(cloud, 9, mode=mode, order_by=["point_id"]))
+
+
 def test_uniform_with_products_beyond_64_bits(monkeypatch, xyz):
     df = xyz([(float(i), 0.0, 0.0) for i in range(9)])
     i = F.monotonically_increasing_id()
