@@ -16,6 +16,8 @@ from cloudmill.session import scratch_path
 
 # Each axis is cut at up to this many even steps and as many quantiles.
 CUTS = 8
+# Chosen points sent to the tasks in one job: some tens of megabytes.
+CENTRES_AT_ONCE = 500_000
 # Rows a core-set task holds at once, unless the sample itself is larger.
 CORE_ROWS = 20_000
 
@@ -98,11 +100,9 @@ def _choose(pool: DataFrame, n: int, start) -> list[Row]:
     chosen = [seed]
     cells.add_centre(seed)
     while len(chosen) < n:
-        best = cells.farthest()
-        if best is None:
+        while (best := cells.farthest()) is None:
             for row in _evaluate(celled, cells.stale_centres(), order):
                 cells.refresh(row, pool.columns)
-            best = cells.farthest()
         distance, row = best
         if distance == 0:
             break
@@ -131,7 +131,7 @@ def _least_left(pool: DataFrame, chosen: list[Row], n: int) -> list[Row]:
 
 def _evaluate(celled: DataFrame, centres: list[tuple], order: list[Column]) -> list[Row]:
     """The farthest row of each given cell, measured to that cell's centres."""
-    # One row per cell, at most (2 CUTS + 1)^3 of them, sent as a local relation.
+    # One row per cell, at most (2 CUTS + 1)^3 of them, with CENTRES_AT_ONCE points in all.
     table = pa.table(
         {
             _CELL: pa.array([cell for cell, _ in centres], pa.int32()),
@@ -197,11 +197,19 @@ class _Cells:
         return best, min((self.rows[i] for i in tied), key=_sort_key)
 
     def stale_centres(self) -> list[tuple]:
-        out = []
-        for i in np.flatnonzero(self.stale):
+        """Stale cells with the centres that can matter there, most promising cells first.
+
+        What does not fit into one broadcast is left for the next job.
+        """
+        stale = np.flatnonzero(self.stale)
+        out, size = [], 0
+        for i in stale[np.argsort(-self.bound[stale], kind="stable")]:
             # A centre whose nearest corner lies beyond another's far corner never wins.
             kept = [c for c in self.centres[i] if c[0] <= self.reach[i]]
             self.centres[i] = kept
+            size += len(kept)
+            if out and size > CENTRES_AT_ONCE:
+                break
             out.append((self.ids[i], [centre for _, centre in kept]))
         return out
 

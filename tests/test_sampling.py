@@ -214,6 +214,12 @@ def test_farthest_needs_fewer_jobs_than_samples(xyz, monkeypatch):
     assert len(jobs) < 40
 
 
+def test_farthest_with_small_broadcasts(xyz, monkeypatch):
+    data = [tuple(map(float, p)) for p in np.random.default_rng(8).uniform(0, 1, (200, 3))]
+    monkeypatch.setattr(farthest, "CENTRES_AT_ONCE", 60)
+    assert rows(farthest_point_sample(xyz(data), 12)) == _greedy(data, 12)
+
+
 def test_farthest_sizes_start_and_compat(xyz):
     data = [(0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (10.0, 0.0, 0.0), (4.0, 0.0, 0.0)]
     df = xyz(data)
