@@ -25,7 +25,7 @@ HEADLINE = (
     "uniform_exact", "uniform_stored", "random", "voxel", "fps", "fps_coreset",
     "normalize", "rotate", "jitter", "zorder_key",
     "csv_roundtrip", "scan_xyz", "asof_read", "incremental_read", "delete_where",
-    "partitions", "pipeline_asof_voxel",
+    "partitions", "run_asof_voxel",
 )
 
 # The registered forms draw from md5, which SQL can repeat; these use the own generator.

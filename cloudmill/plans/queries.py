@@ -602,11 +602,11 @@ def _insight_export(spark, sf_dir):
 
 
 @query(
-    "pipeline_asof_voxel",
+    "run_asof_voxel",
     f"WITH every_point AS ({DUCKDB_POINTS}), points AS (SELECT * FROM every_point WHERE survey_year <= 1999) "
     + voxels("points"),
 )
-def _pipeline_asof_voxel(spark, sf_dir):
+def _run_asof_voxel(spark, sf_dir):
     table = survey_table(spark, sf_dir).path
     return run_pipeline(
         spark, table, as_of=utc(2000, 6), operator="voxel_sampling", options={"cells": CELLS}
@@ -614,7 +614,7 @@ def _pipeline_asof_voxel(spark, sf_dir):
 
 
 @query(
-    "pipeline_export_rotate",
+    "run_export_rotate",
     on_points(
         "SELECT "
         + ", ".join(
@@ -628,7 +628,7 @@ def _pipeline_asof_voxel(spark, sf_dir):
         + " FROM points WHERE survey_year IN (2000, 2001)"
     ),
 )
-def _pipeline_export_rotate(spark, sf_dir):
+def _run_export_rotate(spark, sf_dir):
     """Incremental read, projection to x, y, z, rotation, CSV export, read back."""
     output = scratch_path(spark, "export")
     run_pipeline(

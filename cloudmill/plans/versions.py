@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudmill.plans.points import points
-from cloudmill.session import scratch_path
+from cloudmill.session import path_exists, scratch_path
 from cloudmill.sources.versioned import PointTable
 
 _built: dict[tuple[str, str], str] = {}
@@ -26,9 +26,12 @@ def utc(year: int, month: int = 1, day: int = 1) -> datetime:
 
 
 def survey_table(spark: SparkSession, sf_dir: str) -> PointTable:
-    """The table for `sf_dir`, built on first use by this application."""
+    """The table for `sf_dir`, built on first use by this application.
+
+    It is built again if the scratch folder has been cleaned since.
+    """
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _built:
+    if key not in _built or not path_exists(spark, f"{_built[key]}/definition"):
         _built[key] = _build(spark, points(spark, sf_dir))
     return PointTable(spark, _built[key])
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloudmill.operators.clustering import cluster_zorder
-from cloudmill.session import scratch_path
+from cloudmill.session import path_exists, scratch_path
 from cloudmill.sources.delimited import write_csv
 
 Moment = datetime | int | str
@@ -430,7 +430,7 @@ class PointTable:
 
     def _log(self, name: str, schema: T.StructType) -> DataFrame:
         path = f"{self.path}/{name}"
-        if not _exists(self.spark, path):
+        if not path_exists(self.spark, path):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path)
 
@@ -495,9 +495,3 @@ def _relative_path() -> Column:
     encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
     decoded = F.url_decode(encoded)
     return F.concat(F.lit(f"{_ADDED_BY}="), F.substring_index(decoded, f"/{_ADDED_BY}=", -1))
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
