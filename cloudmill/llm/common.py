@@ -44,55 +44,97 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class WordHasher:
-    """64-bit hashes of all words of many texts at once.
+class Words:
+    """All words of many texts at once, as ranges of one lower-cased byte array.
 
-    A word is a run of bytes outside 0x20 and 0x09-0x0D, after lower-casing A-Z. Its hash is
-    a polynomial over random byte values, read off two prefix sums, then mixed. Two different
-    words share a hash with a chance of about 2**-64.
+    A word is a run of bytes outside 0x20 and 0x09-0x0D; only A-Z are lower-cased.
+    ``offsets[i]`` is the first word of text i (and its last entry the number of words).
     """
 
-    BASE = 0x9E3779B97F4A7C15
-
-    def __init__(self) -> None:
-        rng = np.random.Generator(np.random.PCG64(20240607))
-        self.values = rng.integers(1, 2**64, 256, dtype=np.uint64)
-        self.powers = self.inverses = np.ones(1, dtype=np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            size = 1 << (n - 1).bit_length()
-            self.powers = np.full(size, self.BASE, dtype=np.uint64)
-            self.inverses = np.full(size, pow(self.BASE, -1, 2**64), dtype=np.uint64)
-            self.powers[0] = self.inverses[0] = 1
-            np.multiply.accumulate(self.powers, out=self.powers)
-            np.multiply.accumulate(self.inverses, out=self.inverses)
-
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The words' hashes in order, and where each text's words start (and the last end)."""
+    def __init__(self, texts: list[str | None]) -> None:
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         sizes = np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw))
-        data = np.frombuffer((b" ".join(raw) + b" ").translate(_LOWER), np.uint8)
-        self._grow(len(data) + 1)
-        white = _WHITE[data]
+        self.data = np.frombuffer((b" ".join(raw) + b" ").translate(_LOWER), np.uint8)
+        white = _WHITE[self.data]
         edges = np.flatnonzero(white[1:] != white[:-1]) + 1
-        if len(data) and not white[0]:
+        if not white[0]:
             edges = np.concatenate(([0], edges))
-        starts, ends = edges[0::2], edges[1::2]
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(self.values[data] * self.powers[: len(data)], out=sums[1:])
-        hashes = (sums[ends] - sums[starts]) * self.inverses[starts]
-        hashes = mixed(hashes + (ends - starts).astype(np.uint64))
-        begin = np.concatenate(([0], np.cumsum(sizes)))
-        return hashes, np.searchsorted(starts, begin)
-
-
-def chunks(batches: Iterator, size: int, text: str = "text") -> Iterator:
-    """Slices of pandas batches with about ``size`` characters of text each (one row at least)."""
-    for batch in batches:
-        lengths = np.fromiter(((len(t) if t else 0) for t in batch[text]), np.int64, len(batch))
-        part = np.cumsum(lengths) // max(size, 1)
-        cuts = np.flatnonzero(np.diff(part)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(batch)], strict=True):
-            if b > a:
-                yield batch.iloc[a:b]
+        self.starts, self.ends = edges[0::2], edges[1::2]
+        self.begins = np.concatenate(([0], np.cumsum(sizes)))
+        self.offsets = np.searchsorted(self.starts, self.begins)
+
+    def hashes(self, starts: np.ndarray | None = None, ends: np.ndarray | None = None) -> np.ndarray:
+        """64-bit hashes of byte ranges, of the words by default.
+
+        A polynomial over random byte values, read off prefix sums, then mixed: two different
+        words share a hash with a chance of about 2**-64.
+        """
+        starts, ends = (self.starts, self.ends) if starts is None else (starts, ends)
+        powers, inverses = _powers(len(self.data))
+        if not hasattr(self, "_sums"):
+            self._sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
+            np.cumsum(_BYTE_VALUES[self.data] * powers[: len(self.data)], out=self._sums[1:])
+        h = (self._sums[ends] - self._sums[starts]) * inverses[starts]
+        return mixed(h + (ends - starts).astype(np.uint64))
+
+
+_BASE = 0x9E3779B97F4A7C15
+_BYTE_VALUES = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**64, 256, np.uint64)
+_tables: list[np.ndarray] = [np.ones(1, dtype=np.uint64)] * 2
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if len(_tables[0]) <= n:
+        size = 1 << n.bit_length()
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+            _tables[k] = np.full(size, base, dtype=np.uint64)
+            _tables[k][0] = 1
+            np.multiply.accumulate(_tables[k], out=_tables[k])
+    return _tables
+
+
+def chunks(texts: list[str | None], size: int) -> Iterator[slice]:
+    """Slices with about ``size`` characters of text each, one text at least."""
+    lengths = np.fromiter(((len(t) if t else 0) + 1 for t in texts), np.int64, len(texts))
+    part = np.cumsum(lengths) // size
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(texts)], strict=True):
+        if b > a:
+            yield slice(int(a), int(b))
+
+
+def labelled_sample(
+    docs: DataFrame,
+    labels: DataFrame,
+    target: str,
+    per_class: int,
+    max_chars: int,
+    text: str = "text",
+) -> DataFrame:
+    """Up to ``per_class`` labelled texts of each class to fit on: columns text, y.
+
+    Only ids whose crc32 is not 1 modulo 3, present in both tables, with a text of at most
+    ``max_chars`` characters; those with the least hashed ids, so the choice is repeatable.
+    """
+    spark = docs.sparkSession
+    marks = (
+        labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col(target).cast("int").alias("y"))
+        .filter(F.col("y").isin(0, 1) & F.col("id").isNotNull() & (fold("id", 3) != 1))
+        .groupBy("id")
+        .agg(F.max("y").alias("y"))
+    )
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col(text).alias("text"))
+    short = texts.filter(F.length("text") <= max_chars)
+    known = short.select("id").join(marks, "id").withColumn("h", F.xxhash64("id"))
+    chosen = [
+        r
+        for y in (0, 1)
+        for r in known.filter(F.col("y") == y)
+        .distinct()
+        .orderBy("h", "id")
+        .limit(per_class)
+        .select("id", "y")
+        .collect()
+    ]
+    chosen_ids = F.broadcast(spark.createDataFrame(chosen, "id bigint, y int"))  # 2 * per_class rows
+    return short.join(chosen_ids, "id").dropDuplicates(["id"]).select("id", "text", "y")

@@ -5,8 +5,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cloudmill.llm.packing import op1_best_fit_packing
+from cloudmill.llm.quality import op9_quality_classifier
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 ORACLES: dict[str, str] = {}
