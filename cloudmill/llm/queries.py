@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cloudmill.llm.packing import op1_best_fit_packing
 from cloudmill.llm.quality import op9_quality_classifier
+from cloudmill.llm.secret_scan import op8_secret_scan
 from cloudmill.llm.toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op5_toxicity": op5_toxicity,
+    "op8_secret_scan": op8_secret_scan,
     "op9_quality_classifier": op9_quality_classifier,
 }
 ORACLES: dict[str, str] = {}
