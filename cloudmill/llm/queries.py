@@ -4,6 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cloudmill.llm.embedding_dedup import op2_embedding_near_dedup
 from cloudmill.llm.fingerprint import op7_document_fingerprints
 from cloudmill.llm.license_scan import op6_license_scan
 from cloudmill.llm.packing import op1_best_fit_packing
@@ -13,6 +14,7 @@ from cloudmill.llm.toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_license_scan": op6_license_scan,
     "op7_document_fingerprints": op7_document_fingerprints,
