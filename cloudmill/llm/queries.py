@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cloudmill.llm.embedding_dedup import op2_embedding_near_dedup
 from cloudmill.llm.fingerprint import op7_document_fingerprints
 from cloudmill.llm.jaccard_join import op4_ngram_jaccard_join
+from cloudmill.llm.language_model import op3_lm_scoring
 from cloudmill.llm.license_scan import op6_license_scan
 from cloudmill.llm.packing import op1_best_fit_packing
 from cloudmill.llm.quality import op9_quality_classifier
@@ -16,6 +17,7 @@ from cloudmill.llm.toxicity import op5_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_toxicity": op5_toxicity,
     "op6_license_scan": op6_license_scan,
