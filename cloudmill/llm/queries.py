@@ -10,6 +10,7 @@ from cloudmill.llm.jaccard_join import op4_ngram_jaccard_join
 from cloudmill.llm.language_model import op3_lm_scoring
 from cloudmill.llm.license_scan import op6_license_scan
 from cloudmill.llm.packing import op1_best_fit_packing
+from cloudmill.llm.pieces import op10_sentencepiece
 from cloudmill.llm.quality import op9_quality_classifier
 from cloudmill.llm.secret_scan import op8_secret_scan
 from cloudmill.llm.toxicity import op5_toxicity
@@ -24,5 +25,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLES: dict[str, str] = {}
