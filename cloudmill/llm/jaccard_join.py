@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloudmill.llm.common import Words, chunks, mixed, saved, table
@@ -269,7 +269,7 @@ class JaccardJoin:
         sets = self._distinct(wanted)
 
         def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for group in sets(batches):
+            for group in filter(None, sets(batches)):
                 yield pd.DataFrame({"node": [k for k, _ in group], "s": [s.view(np.int64) for _, s in group]})
 
         held = saved(self.docs.mapInPandas(tokens, "node bigint, s array<bigint>"), "sets")
@@ -337,5 +337,27 @@ def jaccard_groups(
     )
 
 
+def keep_one_of_each(docs: DataFrame, **join) -> DataFrame:
+    """The rows of ``docs`` with the least doc_id of each group of similar texts.
+
+    Rows with the same doc_id are one document, of which one row stays; without a doc_id, one
+    row of each text that links with no document stays. Columns stay as they are.
+    """
+    groups = jaccard_groups(docs, **join)
+    kept = groups.filter("component_id is null or doc_id = component_id").select(
+        F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_kept")
+    )
+    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
+    text = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    first = Window.partitionBy("_kept", "_same").orderBy("_kept")
+    return (
+        docs.withColumns({"_kept": key, "_same": text})
+        .join(kept.distinct(), "_kept", "left_semi")
+        .withColumn("_first", F.row_number().over(first))
+        .filter("_first = 1")
+        .select(*docs.columns)
+    )
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))

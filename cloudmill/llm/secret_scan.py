@@ -165,10 +165,15 @@ def scan_secrets(
 def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "<SECRET>", **scan) -> DataFrame:
     """``docs`` with the values of live-looking secrets replaced by ``mark``.
 
-    Widely copied examples stay. Other columns stay as they are; a null text stays null.
+    Widely copied examples stay. Other columns stay as they are; a null text stays null. Only
+    texts with candidates are set aside and joined with what the corpus says about them; the
+    others pass straight through.
     """
-    row = "_redact_row"
-    kept = saved(docs.withColumn(row, F.monotonically_increasing_id()), "secret-texts")
+    row, body = "_redact_row", F.coalesce(F.col(text).cast("string"), F.lit(""))
+    some = (F.size(base_spans(body)) > 0) | body.rlike(_MIXED)
+    kept = saved(
+        docs.filter(some).withColumn(row, F.monotonically_increasing_id()), "secret-texts"
+    )
     spans = scan_secrets(kept, text, keep=(row,), **scan).filter(F.size("live") > 0)
     place = spans.select(
         row,
@@ -189,15 +194,15 @@ def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "<SECRET>",
         ).otherwise(F.concat(merged, F.array(x)))
 
     none = F.expr("cast(array() as array<struct<at:int,end:int>>)")
-    body = F.aggregate(  # from the last place to the first, so that places stay valid
+    redacted = F.aggregate(  # from the last place to the first, so that places stay valid
         F.reverse(F.aggregate(F.array_sort("_places"), none, join_overlaps)),
         F.col(text),
         lambda b, x: F.overlay(b, F.lit(mark), x["at"] + 1, x["end"] - x["at"]),
     )
     fixed = kept.join(place, row, "left").withColumn(
-        text, F.when(F.col("_places").isNull(), F.col(text)).otherwise(body)
+        text, F.when(F.col("_places").isNull(), F.col(text)).otherwise(redacted)
     )
-    return fixed.select(*docs.columns)
+    return docs.filter(~some).unionByName(fixed.select(*docs.columns))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
