@@ -3,7 +3,33 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from cloudmill.llm.common import saved, table
+from cloudmill.llm.jaccard_join import keep_one_of_each
 from cloudmill.llm.packing import pack_documents
+from cloudmill.llm.quality import classify_quality
+from cloudmill.llm.secret_scan import redact_secrets
+from cloudmill.llm.toxicity import classify_toxicity
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality classifier rejects (score under 0.5)."""
+    scored = classify_quality(docs, table(spark, sf_dir, "labels"))
+    return scored.filter("quality_kept").select(*docs.columns)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the toxicity network rejects (score 0.7 or more)."""
+    scored = classify_toxicity(docs, table(spark, sf_dir, "labels"))
+    return scored.filter("not toxic").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each group of similar shingle sets."""
+    return keep_one_of_each(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets that look live; widely copied examples stay."""
+    return redact_secrets(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,6 +38,10 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality classifier", quality),
+    ("toxicity", toxicity),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scans", secrets),
     ("best-fit packing", packing),
 ]
 
