@@ -42,27 +42,39 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data[1:]), f"<u{data[:1].decode()}").astype(np.int64)
 
 
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """Numbers below 256**width, byte by byte: high bytes are small and pack well."""
+    planes = values.astype(">u8").view(np.uint8).reshape(-1, 8).T[8 - width :]
+    return zlib.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
+
+def _numbers(data: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(width, -1)
+    full = np.zeros((planes.shape[1], 8), np.uint8)
+    full[:, 8 - width :] = planes.T
+    return full.view(">u8")[:, 0].astype(np.uint64)
+
+
 def _keys(hashes: np.ndarray) -> bytes:
-    """Sorted hashes as differences: their small high bytes pack well."""
-    steps = np.diff(hashes, prepend=np.uint64(0))
-    planes = steps.astype(">u8").view(np.uint8).reshape(-1, 8).T
-    return zlib.compress(np.ascontiguousarray(planes[:4]).tobytes(), 1) + planes[4:].tobytes()
+    """Sorted hashes as differences."""
+    return _planes(np.diff(hashes, prepend=np.uint64(0)), 8)
 
 
-def _hashes(data: bytes, size: int) -> np.ndarray:
-    packer = zlib.decompressobj()
-    high = np.frombuffer(packer.decompress(data), np.uint8).reshape(4, size)
-    low = np.frombuffer(packer.unused_data, np.uint8).reshape(4, size)
-    steps = np.ascontiguousarray(np.concatenate([high, low]).T).view(">u8")[:, 0]
-    return np.cumsum(steps.astype(np.uint64))
+def _hashes(data: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(data, 8))
 
 
-def _bigrams(ids: np.ndarray, offsets: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Hash of every token with the one before it; a text's first follows an end."""
+def _by_frequency(counts: np.ndarray) -> np.ndarray:
+    """Words of a block by falling frequency: frequent words get small numbers."""
+    return np.argsort(-counts, kind="stable")
+
+
+def _bigrams(ids: np.ndarray, offsets: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
+    """Hash of every token with the one before it, in the top ``bits``; a text's first follows an end."""
     before = np.empty(len(ids), dtype=np.uint64)
     before[1:] = words[ids[:-1]]
     before[offsets[:-1]] = END[0]
-    return mixed(before * _GRAM + words[ids])
+    return mixed(before * _GRAM + words[ids]) >> np.uint64(64 - bits)
 
 
 def _bins(p: np.ndarray) -> np.ndarray:
@@ -110,6 +122,7 @@ def score_texts(
     deleted: int = 0,
     block_tokens: int = 1_500_000,
     shard_entries: int = 1_000_000,
+    gram_bits: int = 48,
     text: str = "text",
 ) -> DataFrame:
     """log10 probabilities of whole texts under an interpolated bigram model of the corpus.
@@ -133,8 +146,8 @@ def score_texts(
 
     Defined results: a null or empty text is one end token; a null id is not held out and
     trains; repeated rows count and score each; without training rows all probabilities are
-    uniform over one type; no rows give no rows; other columns are ignored. Words and bigrams
-    are compared by 64-bit hash.
+    uniform over one type; no rows give no rows; other columns are ignored. Words are compared
+    by 64-bit hash, bigrams by ``gram_bits`` of theirs.
     """
     spark = docs.sparkSession
     which = fold("doc_id", train_folds)
@@ -143,10 +156,10 @@ def score_texts(
         F.col(text).cast("string").alias("text"),
         F.when(which == held, F.lit(2)).when(which == deleted, F.lit(1)).otherwise(F.lit(0)).alias("role"),
     )
-    # Characters per word are seldom below four: enough shards for the worst case of all new.
+    # Enough shards for a new bigram every eight characters, counted once in each block.
     chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = 1 << max(3, int(np.ceil(np.log2(max(1.0, chars / 3 / shard_entries)))))
-    top = np.uint64(64 - int(np.log2(shards)))
+    shards = 1 << max(3, int(np.ceil(np.log2(max(1.0, chars / 8 / shard_entries)))))
+    shard_bits = int(np.log2(shards))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import uuid
@@ -162,10 +175,14 @@ def score_texts(
             sizes = np.array([n for _, _, n in rows])
             offsets = np.concatenate(([0], np.cumsum(sizes)))
             role = np.repeat([r for _, r, _ in rows], sizes)
-            parts: dict[str, list] = {"shard": [], "gram": [], "size": [], "keys": [], "train": [], "deleted": []}
-            grams = _bigrams(ids, offsets, words)
+            parts: dict[str, list] = {"shard": [], "gram": [], "size": [], "keys": [], "train": [], "deleted": [], "every": []}
+            grams = _bigrams(ids, offsets, words, gram_bits)
             bi, at = np.unique(grams, return_inverse=True)
-            for gram, distinct, where in ((1, words, ids), (2, bi, at)):
+            every = np.bincount(ids, minlength=len(words))
+            rank = np.empty(len(words), np.int64)
+            rank[_by_frequency(every)] = np.arange(len(words))
+            for gram, distinct, where, bits in ((1, words, ids, 64), (2, bi, at, gram_bits)):
+                top = np.uint64(bits - shard_bits)
                 train = np.bincount(where[role < 2], minlength=len(distinct))
                 out = np.bincount(where[role == 1], minlength=len(distinct))
                 cuts = np.searchsorted(distinct >> top, np.arange(shards + 1, dtype=np.uint64))
@@ -177,14 +194,19 @@ def score_texts(
                         parts["keys"].append(_keys(distinct[a:b]))
                         parts["train"].append(_packed(train[a:b]))
                         parts["deleted"].append(_packed(out[a:b]))
-            yield pd.DataFrame({"block": name, "doc_id": pd.NA, "role": -1, "ids": None, **parts}).astype({"doc_id": "Int64"})
+                        parts["every"].append(_packed(every[a:b]) if gram == 1 else None)
+            yield pd.DataFrame({"block": name, "doc_id": pd.NA, "role": -1, "ids": None, "grams": None, **parts}).astype({"doc_id": "Int64"})
             yield pd.DataFrame(
                 {
                     "block": name,
                     "doc_id": pd.array([d for d, _, _ in rows], dtype="Int64"),
                     "role": [r for _, r, _ in rows],
-                    "ids": [ids[a:b].astype("<u4").tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)],
-                    "shard": -1, "gram": 0, "size": sizes, "keys": None, "train": None, "deleted": None,
+                    "ids": [_planes(rank[ids[a:b]], 4) for a, b in zip(offsets[:-1], offsets[1:], strict=True)],
+                    "grams": [
+                        _planes(at[a:b], 4) if r == 1 else None
+                        for (_, r, _), a, b in zip(rows, offsets[:-1], offsets[1:], strict=True)
+                    ],
+                    "shard": -1, "gram": 0, "size": sizes, "keys": None, "train": None, "deleted": None, "every": None,
                 }
             )
 
@@ -203,14 +225,14 @@ def score_texts(
             yield from block()
 
     schema = (
-        "block string, doc_id bigint, role int, ids binary, shard int, gram int, size bigint, "
-        "keys binary, train binary, deleted binary"
+        "block string, doc_id bigint, role int, ids binary, grams binary, shard int, gram int, "
+        "size bigint, keys binary, train binary, deleted binary, every binary"
     )
     read_once = saved(source.mapInPandas(read, schema), "blocks")
 
     def total(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         sizes = group["size"].to_numpy()
-        keys = [_hashes(k, n) for k, n in zip(group["keys"], sizes, strict=True)]
+        keys = [_hashes(k) for k in group["keys"]]
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         sums = []
         for column in ("train", "deleted"):
@@ -224,7 +246,7 @@ def score_texts(
                 "shard": group["shard"],
                 "gram": group["gram"],
                 "keys": group["keys"].where(group["gram"] == 1, None),
-                "size": group["size"],
+                "every": group["every"],
                 "train": [_packed(sums[0][at[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
                 "deleted": [_packed(sums[1][at[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
                 "tokens": 0, "types": 0, "out": 0,
@@ -236,11 +258,11 @@ def score_texts(
 
     answers = saved(
         read_once.filter("role = -1")
-        .select("block", "shard", "gram", "size", "keys", "train", "deleted")
+        .select("block", "shard", "gram", "size", "keys", "train", "deleted", "every")
         .groupBy("shard", "gram")
         .applyInPandas(
             total,
-            "block string, shard int, gram int, keys binary, size bigint, train binary, "
+            "block string, shard int, gram int, keys binary, every binary, train binary, "
             "deleted binary, tokens bigint, types bigint, out bigint",
         ),
         "counts",
@@ -249,51 +271,42 @@ def score_texts(
     n_train, n_types, n_deleted = (int(s or 0) for s in sums)
     floor = 1.0 / (n_types + 1)
 
-    def looked_up(docs_of: pd.DataFrame, found: pd.DataFrame, less: bool) -> tuple:
-        """Per token of a block's texts: context count, bigram and unigram frequency, count."""
-        found = found.sort_values("shard")
-        one, two = found[found["gram"] == 1], found[found["gram"] == 2]
-        words = np.concatenate([_hashes(k, n) for k, n in zip(one["keys"], one["size"], strict=True)])
-
-        def counts(part: pd.DataFrame) -> np.ndarray:
-            own = np.concatenate([_unpacked(c) for c in part["train"]])
-            return own - np.concatenate([_unpacked(c) for c in part["deleted"]]) if less else own
-
-        unigram, bigram = counts(one), counts(two)
-        sizes = docs_of["size"].to_numpy()
-        offsets = np.concatenate(([0], np.cumsum(sizes)))
-        ids = np.frombuffer(b"".join(docs_of["ids"]), "<u4").astype(np.int64)
-        grams = _bigrams(ids, offsets, words)
-        end = np.searchsorted(words, END[0])
-        before = np.concatenate(([end], ids[:-1]))
-        before[offsets[:-1]] = end
-        return words, ids, before, grams, unigram, bigram, offsets
-
-    def probabilities(docs_of: pd.DataFrame, found: pd.DataFrame, tokens: int, less: bool) -> tuple:
-        _, ids, before, grams, unigram, bigram, offsets = looked_up(docs_of, found, less)
-        distinct, at = np.unique(grams, return_inverse=True)
-        if len(distinct) != len(bigram):  # only some texts of the block are asked for
-            raise ValueError("a block must be looked up whole")
+    def joined(found: pd.DataFrame, gram: int, column: str) -> np.ndarray:
+        part = found[found["gram"] == gram].sort_values("shard")
+        return np.concatenate([_unpacked(c) for c in part[column]])
+
+    def numbers(docs_of: pd.DataFrame, found: pd.DataFrame) -> tuple:
+        """Word numbers of a block's texts, those before them, and where each text starts."""
+        every = joined(found, 1, "every")
+        by_rank = _by_frequency(every)
+        ids = by_rank[np.concatenate([_numbers(i, 4) for i in docs_of["ids"]]).astype(np.int64)]
+        offsets = np.concatenate(([0], np.cumsum(docs_of["size"].to_numpy())))
+        before = np.concatenate((ids[:1], ids[:-1]))
+        before[offsets[:-1]] = ids[offsets[1:] - 1]  # every text ends with the end token
+        return ids, before, offsets
+
+    def probabilities(ids, before, at, unigram, bigram, tokens: int) -> tuple:
         context = unigram[before]
         p2 = bigram[at] / np.maximum(context, 1)
         p1 = unigram[ids] / max(tokens, 1)
         bucket = np.where(context > 0, np.log2(np.maximum(context, 1)).astype(np.int64) + 1, 0)
-        return np.minimum(bucket, _BUCKETS - 1), p2, p1, unigram[ids], offsets
+        return np.minimum(bucket, _BUCKETS - 1), p2, p1
 
     def events(docs_of: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if not len(docs_of):
             return pd.DataFrame({"cell": [], "n": []})
-        bucket, p2, p1, _, offsets = probabilities(docs_of, found, n_train - n_deleted, True)
-        of = np.repeat(docs_of["role"].to_numpy() == 1, np.diff(offsets))
-        cell = (bucket[of] * _BINS + _bins(p2[of])) * _BINS + _bins(p1[of])
-        cells, n = np.unique(cell, return_counts=True)
+        ids, before, _ = numbers(docs_of, found)
+        at = np.concatenate([_numbers(g, 4) for g in docs_of["grams"]]).astype(np.int64)
+        left = [joined(found, g, "train") - joined(found, g, "deleted") for g in (1, 2)]
+        bucket, p2, p1 = probabilities(ids, before, at, *left, n_train - n_deleted)
+        cells, n = np.unique((bucket * _BINS + _bins(p2)) * _BINS + _bins(p1), return_counts=True)
         return pd.DataFrame({"cell": cells, "n": n})
 
-    texts = read_once.filter("role >= 0").select("block", "doc_id", "role", "ids", "size")
-    lookups = answers.select("block", "shard", "gram", "keys", "size", "train", "deleted")
+    deleted_texts = read_once.filter("role = 1").select("block", "ids", "grams", "size")
+    deleted_counts = answers.select("block", "shard", "gram", "every", "train", "deleted")
     cells = (
-        texts.groupBy("block")
-        .cogroup(lookups.groupBy("block"))
+        deleted_texts.groupBy("block")
+        .cogroup(deleted_counts.groupBy("block"))
         .applyInPandas(events, "cell bigint, n bigint")
         .groupBy("cell")
         .agg(F.sum("n").alias("n"))
@@ -306,8 +319,13 @@ def score_texts(
     def score(docs_of: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if not len(docs_of):
             return pd.DataFrame({c.split()[0]: [] for c in out_schema.split(", ")})
-        bucket, p2, p1, count, offsets = probabilities(docs_of, found, n_train, False)
-        w = weights[bucket]
+        ids, before, offsets = numbers(docs_of, found)
+        one = found[found["gram"] == 1].sort_values("shard")
+        words = np.concatenate([_hashes(k) for k in one["keys"]])
+        at = np.unique(_bigrams(ids, offsets, words, gram_bits), return_inverse=True)[1]
+        unigram, bigram = joined(found, 1, "train"), joined(found, 2, "train")
+        bucket, p2, p1 = probabilities(ids, before, at, unigram, bigram, n_train)
+        count, w = unigram[ids], weights[bucket]
         p = w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * floor
         base = np.log10((count + 0.5) / (n_train + 0.5 * (n_types + 1)))
         heads = offsets[:-1]
@@ -327,7 +345,9 @@ def score_texts(
         "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
         "base_score double, score double"
     )
-    return texts.groupBy("block").cogroup(lookups.groupBy("block")).applyInPandas(score, out_schema)
+    texts = read_once.filter("role >= 0").select("block", "doc_id", "role", "ids", "size")
+    counts = answers.select("block", "shard", "gram", "keys", "every", "train")
+    return texts.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(score, out_schema)
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
