@@ -15,7 +15,7 @@ from cloudmill.llm.common import Words, chunks, mixed, saved, table
 from cloudmill.llm.components import components
 
 _PLACES = np.random.Generator(np.random.PCG64(5)).integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
-_CHUNK = 2_000_000  # characters hashed at a time
+_CHUNK = 1_000_000  # characters hashed at a time
 _SLICES = 64  # parts in which frequency sketches are added up
 _NODE_BITS = 24  # bits of the filters that say which sets a later pass needs
 
