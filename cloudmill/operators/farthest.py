@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cloudmill.functions.geometry import at_point, has_coordinates
 from cloudmill.operators.grouping import least_row_per_group
 from cloudmill.operators.ordering import ordering_columns, take_smallest
+from cloudmill.operators.sampling import voxel_sample
 from cloudmill.schema import XYZ
 from cloudmill.session import scratch_path
 
@@ -18,8 +19,6 @@ from cloudmill.session import scratch_path
 CUTS = 8
 # Chosen points sent to the tasks in one job: some tens of megabytes.
 CENTRES_AT_ONCE = 500_000
-# Rows a core-set task holds at once, unless the sample itself is larger.
-CORE_ROWS = 20_000
 
 _CELL = "__pt_cell"
 _CENTRES = "__pt_centres"
@@ -33,6 +32,7 @@ def farthest_point_sample(
     *,
     start=None,
     method: str = "exact",
+    cells: int = 32,
     reference_compat: bool = False,
 ) -> DataFrame:
     """n rows, each the farthest from those chosen before it; ties go to the least row.
@@ -41,9 +41,11 @@ def farthest_point_sample(
     `reference_compat` leaves it out, for n-1 rows. Rows without coordinates are never
     chosen. With n at or above the row count the cloud is returned unchanged.
 
-    "exact" repeats the greedy choice over the whole cloud. "coreset" first reduces
-    every block of rows to its own n farthest points and chooses among those, for a
-    covering radius within a constant factor in two passes over the cloud.
+    "exact" repeats the greedy choice over the whole cloud. "coreset" chooses among the
+    least row of each occupied cell of a grid with `cells` cells along each axis: every
+    row lies within a cell's diagonal of one of them, and the choice does not depend on
+    how rows are spread. `cells` bounds the core-set at (cells + 1)^3 rows; with fewer
+    than n occupied cells the least rows left complete the sample.
     """
     if n < 1:
         raise ValueError("the sample size must be at least 1")
@@ -53,8 +55,9 @@ def farthest_point_sample(
         return df
     pool = df.filter(has_coordinates())
     if method == "coreset":
-        pool = _core_set(pool, n, start)
-    chosen = _choose(pool, n, start)
+        chosen = _choose(_core_set(pool, cells, start), n, start)
+    else:
+        chosen = _choose(pool, n, start)
     spark = df.sparkSession
     chosen += _least_left(pool, chosen, n)
     return spark.createDataFrame(chosen[1:] if reference_compat else chosen, df.schema)
@@ -220,53 +223,19 @@ class _Cells:
         self.rows[i] = Row(*columns)(*[row[c] for c in columns])
 
 
-def _core_set(pool: DataFrame, n: int, start) -> DataFrame:
-    """Each block's own n farthest points, written once: later passes read only these."""
-    rows_at_once = max(CORE_ROWS, 8 * n)
-    origin = None if start is None else np.array([float(v) for v in start])
-
-    def reduce_blocks(batches):
-        import pandas as pd
-
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += len(batch)
-            if size >= rows_at_once:
-                block = pd.concat(held, ignore_index=True)
-                yield block.iloc[_farthest_first(block[list(XYZ)].to_numpy(float), n, origin)]
-                held, size = [], 0
-        if size:
-            block = pd.concat(held, ignore_index=True)
-            yield block.iloc[_farthest_first(block[list(XYZ)].to_numpy(float), n, origin)]
-
+def _core_set(pool: DataFrame, cells: int, start) -> DataFrame:
+    """The least row of each grid cell and those at `start`, written once for later passes."""
+    core = voxel_sample(pool, cells)
+    if start is not None:
+        at_start = least_row_per_group(
+            pool.filter(at_point(start)), [F.col(c) for c in XYZ], ordering_columns(pool)
+        )
+        core = core.unionByName(at_start.select(*pool.columns))
     path = scratch_path(pool.sparkSession, "coreset")
-    pool.mapInPandas(reduce_blocks, pool.schema).write.parquet(path)
+    core.write.parquet(path)
     return pool.sparkSession.read.schema(pool.schema).parquet(path)
 
 
-def _farthest_first(points: np.ndarray, n: int, origin) -> np.ndarray:
-    """Positions of up to n points of one block, farthest first.
-
-    The first is the least point, or the one nearest to `origin`.
-    """
-    if len(points) <= n:
-        return np.arange(len(points))
-    if origin is None:
-        first = np.lexsort(points.T[::-1])[0]
-    else:
-        first = _sum_squares(points - origin).argmin()
-    picked = np.empty(n, dtype=int)
-    picked[0] = first
-    nearest = _sum_squares(points - points[first])
-    nearest[first] = -1.0
-    for i in range(1, n):
-        picked[i] = nearest.argmax()
-        nearest = np.minimum(nearest, _sum_squares(points - points[picked[i]]))
-        nearest[picked[i]] = -1.0
-    return picked
-
-
 def _cuts(lo: float, hi: float, quantiles: list[float]) -> list[float]:
     """Cell borders inside (lo, hi]: even steps follow space, quantiles follow density."""
     even = [lo + (hi - lo) * (i + 1) / (CUTS + 1) for i in range(CUTS)]

@@ -131,7 +131,7 @@ def random_sample(
 
     A row's chance is drawn from (seed, key); `key` defaults to all columns, so equal
     rows share a draw unless a unique key is given. `draw` replaces the generator by
-    a bigint column in [0, 2^60).
+    a bigint column in [0, 2^60); rows without a draw come last.
 
     One pass counts the draws by order of magnitude, which bounds the n-th smallest from
     above: about 2n rows survive the filter, and only those are sorted.
@@ -139,6 +139,7 @@ def random_sample(
     _check_size(n)
     if draw is None:
         draw = hash_draw(seed, [F.col(k) for k in key] if key else ordering_columns(df))
+    draw = F.coalesce(draw, F.lit(1 << 60))
     magnitude = F.floor(F.log2(draw + 1))
     counted = df.groupBy(magnitude.alias("m")).agg(F.count("*").alias("rows")).collect()
     if n >= sum(r["rows"] for r in counted):

@@ -218,7 +218,9 @@ def _voxel(spark, sf_dir):
     return voxel_sample(points(spark, sf_dir), CELLS)
 
 
-def farthest_sql(columns: str, order: str, n: int, skip_first: bool = False) -> str:
+def farthest_sql(
+    columns: str, order: str, n: int, skip_first: bool = False, cloud: str = DUCKDB_EMBEDDED
+) -> str:
     """The greedy choice as one materialised step per sample."""
 
     def squared(seed: str) -> str:
@@ -239,7 +241,7 @@ def farthest_sql(columns: str, order: str, n: int, skip_first: bool = False) ->
     chosen = " UNION ALL ".join(
         f"SELECT {columns} FROM s{i}" for i in range(2 if skip_first else 1, n + 1)
     )
-    return f"WITH cloud AS MATERIALIZED ({DUCKDB_EMBEDDED}), {', '.join(steps)} {chosen}"
+    return f"WITH cloud AS MATERIALIZED ({cloud}), {', '.join(steps)} {chosen}"
 
 
 EMBEDDED = "x, y, z, classification, point_id"
@@ -255,9 +257,14 @@ def _fps_compat(spark, sf_dir):
     return farthest_point_sample(embedded_points(spark, sf_dir), FARTHEST, reference_compat=True)
 
 
-@query("fps_coreset")
+@query("fps_points", farthest_sql(NAMES, ORDER, FARTHEST, cloud=DUCKDB_POINTS))
+def _fps_points(spark, sf_dir):
+    return farthest_point_sample(points(spark, sf_dir), FARTHEST)
+
+
+@query("fps_coreset", farthest_sql(NAMES, ORDER, FARTHEST, cloud=on_points(voxels("points"))))
 def _fps_coreset(spark, sf_dir):
-    return farthest_point_sample(points(spark, sf_dir), FARTHEST, method="coreset")
+    return farthest_point_sample(points(spark, sf_dir), FARTHEST, method="coreset", cells=CELLS)
 
 
 # ---- transforms

@@ -245,6 +245,30 @@ def test_farthest_skips_missing_coordinates(xyz):
     assert rows(farthest_point_sample(df, 3)) == [(0, 0, 0), (1, 0, 0)]
 
 
+def test_coreset_does_not_depend_on_partitioning(xyz):
+    rng = np.random.default_rng(6)
+    df = xyz([tuple(map(float, p)) for p in rng.uniform(0, 1, (2000, 3))], 4)
+    got = [
+        rows(farthest_point_sample(df.repartition(k), 16, method="coreset", cells=6)) for k in (1, 7)
+    ]
+    assert got[0] == got[1] and len(set(got[0])) == 16
+
+
+def test_coreset_start_and_fewer_cells_than_rows(xyz):
+    df = xyz([(float(i), 0.0, 0.0) for i in range(100)], 4)
+    got = rows(farthest_point_sample(df, 3, method="coreset", cells=4, start=(42, 0, 0)))
+    assert (42, 0, 0) in got and len(got) == 3
+    assert len(set(rows(farthest_point_sample(df, 20, method="coreset", cells=2)))) == 20
+
+
+def test_random_sample_takes_rows_without_a_draw_last(xyz):
+    df = xyz([(float(i), 0.0, 0.0) for i in range(6)], 2)
+    draw = F.when(F.col("x") < 3, F.col("x").cast("bigint"))
+    assert sorted(rows(random_sample(df, 2, draw=draw))) == [(0, 0, 0), (1, 0, 0)]
+    got = rows(random_sample(df, 4, draw=draw))
+    assert sorted(got)[:3] == [(0, 0, 0), (1, 0, 0), (2, 0, 0)] and len(got) == 4
+
+
 def test_coreset_sizes(xyz):
     rng = np.random.default_rng(5)
     df = xyz([tuple(map(float, p)) for p in rng.uniform(0, 1, (500, 3))], 4)
