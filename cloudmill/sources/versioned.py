@@ -16,7 +16,7 @@ leaves nothing that a reader would see. One writer at a time.
 """
 
 import uuid
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -95,13 +95,14 @@ class PointTable:
     def read(self, snapshot_id: int | None = None, *, as_of: Moment | None = None) -> DataFrame:
         """Points of the current snapshot, of `snapshot_id`, or of the one current at `as_of`.
 
-        Times are datetimes, epoch milliseconds (also as text) or timestamps as text.
+        Times are datetimes, epoch milliseconds (also as text) or timestamps as text; without
+        a zone they are in the session's time zone.
         """
         if snapshot_id is not None and as_of is not None:
             raise ValueError("give a snapshot or a time, not both")
         timeline = self._timeline()
         if as_of is not None:
-            snapshot_id = timeline.current_at(as_of)
+            snapshot_id = timeline.current_at(self._micros(as_of))
         elif snapshot_id is None:
             snapshot_id = timeline.current
         if snapshot_id is None:
@@ -178,7 +179,7 @@ class PointTable:
 
     def snapshot_at(self, when: Moment) -> int:
         """The snapshot that was current at `when`."""
-        return self._timeline().current_at(when)
+        return self._timeline().current_at(self._micros(when))
 
     # ---- changing
 
@@ -245,8 +246,9 @@ class PointTable:
     def rollback_to_time(self, when: Moment, *, at: datetime | None = None) -> None:
         """Roll back to the latest ancestor committed before `when`."""
         timeline = self._timeline()
+        moment = self._micros(when)
         for snapshot in timeline.line(timeline.current):
-            if timeline.commits[snapshot].at < timeline.moment(when):
+            if timeline.commits[snapshot].at < moment:
                 return self.rollback_to(snapshot, at=at)
         raise ValueError(f"no ancestor of the current snapshot was committed before {when}")
 
@@ -258,10 +260,11 @@ class PointTable:
         `delete_files` also removes the data files no readable snapshot shows.
         """
         timeline = self._timeline()
+        moment = self._micros(older_than)
         doomed = [
             s
             for s in timeline.readable
-            if timeline.commits[s].at < timeline.moment(older_than) and s != timeline.current
+            if timeline.commits[s].at < moment and s != timeline.current
         ]
         if doomed:
             self._add_events(timeline, "expire", at, [(s, None, None, None, None) for s in doomed])
@@ -426,7 +429,21 @@ class PointTable:
         return self._log("events", _EVENT)
 
     def _timeline(self) -> "_Timeline":
-        return _Timeline(self._events().drop("summary").collect())
+        events = self._events().drop("summary").withColumn("at", F.unix_micros("at"))
+        return _Timeline(events.collect())
+
+    def _micros(self, when: Moment) -> int:
+        """Microseconds since the epoch; times without a zone are in the session's zone."""
+        if isinstance(when, int) or isinstance(when, str) and when.isdigit():
+            return int(when) * 1000
+        if isinstance(when, datetime):
+            if when.tzinfo:
+                return (when - datetime.fromtimestamp(0, timezone.utc)) // timedelta(microseconds=1)
+            when = when.isoformat()
+        micros = self.spark.range(1).select(F.unix_micros(F.lit(when).try_cast("timestamp"))).first()[0]
+        if micros is None:
+            raise ValueError(f"not a time: {when}")
+        return micros
 
     def _log(self, name: str, schema: T.StructType) -> DataFrame:
         path = f"{self.path}/{name}"
@@ -451,10 +468,10 @@ class _Timeline:
         self.readable = [s for s in self.commits if s not in expired]
         self.current = self.moves[-1].snapshot_id if self.moves else None
 
-    def current_at(self, when: Moment) -> int:
-        past = [e.snapshot_id for e in self.moves if e.at <= self.moment(when)]
+    def current_at(self, moment: int) -> int:
+        past = [e.snapshot_id for e in self.moves if e.at <= moment]
         if not past:
-            raise ValueError(f"the table had no snapshot at {when}")
+            raise ValueError(f"the table had no snapshot at {moment} microseconds after the epoch")
         return past[-1]
 
     def line(self, snapshot_id: int | None) -> list[int]:
@@ -469,15 +486,6 @@ class _Timeline:
         if snapshot_id not in self.readable:
             raise ValueError(f"snapshot {snapshot_id} does not exist or has expired")
 
-    @staticmethod
-    def moment(when: Moment) -> datetime:
-        """As Spark returns timestamps: local time without a zone."""
-        if isinstance(when, int) or isinstance(when, str) and when.isdigit():
-            when = datetime.fromtimestamp(int(when) / 1000, timezone.utc)
-        elif isinstance(when, str):
-            when = datetime.fromisoformat(when)
-        return when.astimezone().replace(tzinfo=None) if when.tzinfo else when
-
 
 def _literal(value) -> Column:
     if isinstance(value, dict):

@@ -1,3 +1,4 @@
+import time
 from datetime import datetime, timedelta, timezone
 from pathlib import Path
 
@@ -150,6 +151,30 @@ def test_partition_counts(make, batch):
     assert got[2000][1] == len(on_disk)
 
 
+def test_times_without_a_zone_are_in_the_session_zone(spark, make, batch, monkeypatch):
+    table = make()
+    table.append(batch((1, 2000, "a")), at=utc(2002))
+    table.append(batch((2, 2000, "a")), at=datetime(2003, 6, 1, 5, tzinfo=timezone.utc))
+    before = spark.conf.get("spark.sql.session.timeZone")
+    monkeypatch.setenv("TZ", "America/New_York")
+    time.tzset()
+    try:
+        for zone, seen in (("UTC", 1), ("America/New_York", 2)):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert table.snapshot_at("2003-06-01 03:00:00") == seen
+            assert table.snapshot_at(datetime(2003, 6, 1, 3)) == seen
+            assert table.snapshot_at("2003-06-01T03:00:00Z") == 1
+            assert table.snapshot_at(datetime(2003, 6, 1, 5, tzinfo=timezone.utc)) == 2
+            assert table.snapshot_at(1054443600000) == 2
+            assert table.snapshot_at(1054443599999) == 1
+        with pytest.raises(ValueError, match="not a time"):
+            table.snapshot_at("yesterday morning")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+        monkeypatch.undo()
+        time.tzset()
+
+
 def test_time_travel_rollback_and_expiry(make, batch):
     table = make()
     for i in range(1, 6):
