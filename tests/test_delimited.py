@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from helpers import rows
 
 from cloudmill import read_delimited, read_xyz, write_csv, write_xyz
 from cloudmill.schema import ALL_COLUMNS, LAYOUTS

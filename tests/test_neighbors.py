@@ -1,7 +1,7 @@
 import math
 
 import pytest
-from conftest import plan, rows
+from helpers import plan, rows
 
 from cloudmill import ball_query, ball_query_color, knn, knn_color
 

@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import plan, rows
+from helpers import plan, rows
 from pyspark.sql import functions as F
 
 from cloudmill import farthest_point_sample, random_sample, uniform_sample, voxel_sample

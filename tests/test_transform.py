@@ -1,7 +1,7 @@
 import math
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from cloudmill import cluster_zorder, jitter, normalize, rotate_z
