@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
-from conftest import LOWER
+from texts import LOWER
 from pyspark.sql import functions as F
 
 from cloudmill.llm.components import components

@@ -1,7 +1,7 @@
 import re
 
 import pytest
-from conftest import LOWER
+from texts import LOWER
 
 from cloudmill.llm.license_scan import PHRASES, TEMPLATES, _blocks, scan_licenses
 
