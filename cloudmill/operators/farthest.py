@@ -154,7 +154,7 @@ def _evaluate(celled: DataFrame, centres: list[tuple], order: list[Column]) -> l
         _NEARNESS, -F.array_min(F.transform(_CENTRES, squared))
     )
     return least_row_per_group(
-        scored, [_CELL], [F.col(_NEARNESS), *order, F.col(_CELL)]
+        scored, [_CELL], [F.col(_NEARNESS), *order, F.col(_CELL)], at_most=(2 * CUTS + 1) ** 3
     ).collect()
 
 
@@ -228,7 +228,7 @@ def _core_set(pool: DataFrame, cells: int, start) -> DataFrame:
     core = voxel_sample(pool, cells)
     if start is not None:
         at_start = least_row_per_group(
-            pool.filter(at_point(start)), [F.col(c) for c in XYZ], ordering_columns(pool)
+            pool.filter(at_point(start)), XYZ, ordering_columns(pool), at_most=1
         )
         core = core.unionByName(at_start.select(*pool.columns))
     path = scratch_path(pool.sparkSession, "coreset")

@@ -2,8 +2,6 @@
 
 import math
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,22 +12,14 @@ from cloudmill.operators.grouping import least_row_per_group
 from cloudmill.operators.ordering import (
     INDEX,
     STORED,
-    TOP_K_ROWS,
     ordering_columns,
-    take_smallest,
     with_global_index,
     with_stored_index,
 )
+from cloudmill.operators.selection import SHIFT, n_smallest_draws, rows_around_ranks
 from cloudmill.schema import XYZ
 
-# Up to this many samples are looked up in slabs of the cloud instead of sorting all of it.
-PRUNED_SAMPLE = 16_384
-# Slabs are counted inside each task first, so they must be few beside a task's rows.
-MAX_SLABS = 1 << 16
-
 _BOX = "__pt_box"
-_SLAB = "__pt_slab"
-_SHIFT = "__pt_shift"
 _CELL = tuple(f"__pt_cell_{c}" for c in XYZ)
 
 
@@ -39,6 +29,9 @@ def uniform_sample(df: DataFrame, n: int, *, mode: str = "exact", order_by=None)
     "exact" returns n rows. "stride" keeps every round(N/n)-th row, so its size is
     only near n. With n at or above the row count the cloud is returned unchanged.
 
+    Histograms of the leading order column tell which of its slabs hold a wanted rank; only
+    their rows are sorted. More samples make finer histograms, whatever n.
+
     `order_by=STORED` takes rows as they lie in the parquet files read by `df`, without
     any shuffle; after a z-order write these samples are also spread evenly in space.
     """
@@ -56,17 +49,22 @@ def uniform_sample(df: DataFrame, n: int, *, mode: str = "exact", order_by=None)
         total, lo, hi = _extent(df, lead)
         if n >= total:
             return df
-        if n <= PRUNED_SAMPLE and lo is not None and lo < hi < math.inf and lo > -math.inf:
-            pool = _slabs_with_samples(df, lead, lo, hi, _sampled_ranks(n, total, mode))
+        if lo is not None and lo < hi < math.inf and lo > -math.inf:
+            pool = rows_around_ranks(df, lead, lo, hi, n, *_ranks_below(n, total, mode))
         else:
-            pool = df.withColumn(_SHIFT, F.lit(0).cast("bigint"))
+            pool = df.withColumn(SHIFT, F.lit(0).cast("bigint"))
         ranked, _ = with_global_index(pool, order)
-        i = F.col(INDEX) + F.col(_SHIFT)
-    if mode == "stride":
-        keep = i % F.lit(_stride(n, total)) == 0
-    else:
-        keep = _bucket(i + 1, n, total) > _bucket(i, n, total)
-    return ranked.filter(keep).drop(INDEX, _SHIFT)
+        i = F.col(INDEX) + F.col(SHIFT)
+    _, below = _ranks_below(n, total, mode)
+    return ranked.filter(below(i + 1) > below(i)).drop(INDEX, SHIFT)
+
+
+def _ranks_below(n: int, total: int, mode: str):
+    """How many sampled ranks are less than a rank: for a number, and for a column."""
+    if mode == "exact":
+        return lambda i: i * n // total, lambda i: _bucket(i, n, total)
+    stride = _stride(n, total)
+    return lambda i: -(-i // stride), lambda i: _whole_div(i + F.lit(stride - 1), F.lit(stride))
 
 
 def _extent(df: DataFrame, lead: Column | None) -> tuple:
@@ -77,43 +75,6 @@ def _extent(df: DataFrame, lead: Column | None) -> tuple:
     return tuple(df.agg(F.count("*"), F.min(known), F.max(known)).first())
 
 
-def _slabs_with_samples(df: DataFrame, lead: Column, lo: float, hi: float, ranks) -> DataFrame:
-    """The rows of those slabs of the leading column that hold a sampled rank.
-
-    Slabs follow the order, so counting rows per slab gives the ranks each one covers.
-    The rest need not be sorted: with few samples nearly all of the cloud stays where it
-    is. `_SHIFT` is what to add to a rank among the rows kept for the rank among all.
-    """
-    slabs = min(MAX_SLABS, 64 * len(ranks))
-    step = F.floor((lead - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(slabs)))
-    slab = (
-        F.when(lead.isNull(), F.lit(-1))
-        .when(F.isnan(lead), F.lit(slabs))
-        .otherwise(F.least(step, F.lit(slabs - 1)))
-        .cast("int")
-    )
-    placed = df.withColumn(_SLAB, slab)
-    sizes = placed.groupBy(_SLAB).agg(F.count("*").alias("rows")).orderBy(_SLAB).toArrow()
-    rows = sizes["rows"].to_numpy()
-    ends = rows.cumsum()
-    wanted = np.unique(np.searchsorted(ends, np.asarray(ranks, dtype=np.int64), side="right"))
-    kept_before = rows[wanted].cumsum() - rows[wanted]
-    shifts = pa.table(
-        {
-            _SLAB: pa.array(sizes[_SLAB].to_numpy()[wanted], pa.int32()),
-            _SHIFT: pa.array(ends[wanted] - rows[wanted] - kept_before, pa.int64()),
-        }
-    )
-    # One row per sample at most, and there are few samples here.
-    return placed.join(F.broadcast(df.sparkSession.createDataFrame(shifts)), _SLAB).drop(_SLAB)
-
-
-def _sampled_ranks(n: int, total: int, mode: str) -> list[int]:
-    if mode == "stride":
-        return list(range(0, total, _stride(n, total)))
-    return [-(-(j + 1) * total // n) - 1 for j in range(n)]
-
-
 def _stride(n: int, total: int) -> int:
     """total / n, rounded half up."""
     return math.floor(total / n + 0.5)
@@ -133,28 +94,13 @@ def random_sample(
     rows share a draw unless a unique key is given. `draw` replaces the generator by
     a bigint column in [0, 2^60); rows without a draw come last.
 
-    One pass counts the draws by order of magnitude, which bounds the n-th smallest from
-    above: about 2n rows survive the filter, and only those are sorted.
+    Counts of the draws by digits find the n-th least; a filter gives the rows, which are
+    neither sorted nor moved.
     """
     _check_size(n)
     if draw is None:
         draw = hash_draw(seed, [F.col(k) for k in key] if key else ordering_columns(df))
-    draw = F.coalesce(draw, F.lit(1 << 60))
-    magnitude = F.floor(F.log2(draw + 1))
-    counted = df.groupBy(magnitude.alias("m")).agg(F.count("*").alias("rows")).collect()
-    if n >= sum(r["rows"] for r in counted):
-        return df
-    kept, cutoff = 0, None
-    for r in sorted(counted, key=lambda r: r["m"]):
-        kept, cutoff = kept + r["rows"], r["m"]
-        if kept >= n:
-            break
-    low = df.filter(magnitude <= cutoff)
-    order = [draw, *ordering_columns(df)]
-    if kept <= TOP_K_ROWS:
-        return take_smallest(low, n, order)
-    ranked, _ = with_global_index(low, order)
-    return ranked.filter(F.col(INDEX) < n).drop(INDEX)
+    return n_smallest_draws(df, F.coalesce(draw, F.lit(1 << 60)), n, ordering_columns(df))
 
 
 def voxel_sample(df: DataFrame, cells: float, *, order_by=None) -> DataFrame:
@@ -179,7 +125,9 @@ def voxel_sample(df: DataFrame, cells: float, *, order_by=None) -> DataFrame:
 
     gridded = placed.withColumn(_BOX, box).withColumns(dict(zip(_CELL, map(cell, XYZ))))
     # The greatest coordinate of an axis falls into one more cell than asked for.
-    return least_row_per_group(gridded, _CELL, ordering_columns(df, order_by or XYZ)).select(
+    most = (math.ceil(cells) + 1) ** 3
+    order = ordering_columns(df, order_by or XYZ)
+    return least_row_per_group(gridded, _CELL, order, at_most=most).select(
         *[F.col(f"`{c}`") for c in df.columns]
     )
 

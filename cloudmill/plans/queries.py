@@ -33,6 +33,7 @@ K = 10
 RADIUS = 5.0
 CELLS = 10
 SAMPLE = 1000
+LARGE_SAMPLE, LARGE_DRAW = 68_400, 20_000
 FARTHEST = 16
 ANGLE = math.pi / 6
 SIGMA, CLIP = 0.05, 0.08
@@ -168,6 +169,17 @@ def _uniform_exact(spark, sf_dir):
     return uniform_sample(points(spark, sf_dir), SAMPLE)
 
 
+@query(
+    "uniform_exact_large",
+    on_points(
+        f"""SELECT {NAMES} FROM ({RANKED})
+            WHERE (i + 1) * {LARGE_SAMPLE} // total > i * {LARGE_SAMPLE} // total"""
+    ),
+)
+def _uniform_exact_large(spark, sf_dir):
+    return uniform_sample(points(spark, sf_dir), LARGE_SAMPLE)
+
+
 @query(
     "uniform_stride",
     on_points(
@@ -190,18 +202,24 @@ def _uniform_stored(spark, sf_dir):
     return uniform_sample(points(spark, sf_dir), SAMPLE, order_by=STORED)
 
 
-@query(
-    "random",
-    on_points(
+def drawn(n: int) -> str:
+    return on_points(
         f"""SELECT {NAMES} FROM points
             ORDER BY cast('0x' || substr(md5('random:' || point_id), 1, 15) AS bigint), {ORDER}
-            LIMIT {SAMPLE}"""
-    ),
-)
+            LIMIT {n}"""
+    )
+
+
+@query("random", drawn(SAMPLE))
 def _random(spark, sf_dir):
     return random_sample(points(spark, sf_dir), SAMPLE, draw=md5_draw("random", F.col("point_id")))
 
 
+@query("random_large", drawn(LARGE_DRAW))
+def _random_large(spark, sf_dir):
+    return random_sample(points(spark, sf_dir), LARGE_DRAW, draw=md5_draw("random", F.col("point_id")))
+
+
 def voxels(source: str) -> str:
     cell = ", ".join(
         f"CASE WHEN hi_{c} > lo_{c} THEN floor(({c} - lo_{c}) / ((hi_{c} - lo_{c}) / {CELLS})) ELSE 0 END"

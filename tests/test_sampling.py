@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -6,7 +7,7 @@ from helpers import plan, rows
 from pyspark.sql import functions as F
 
 from cloudmill import farthest_point_sample, random_sample, uniform_sample, voxel_sample
-from cloudmill.operators import farthest, ordering, sampling
+from cloudmill.operators import farthest, grouping, ordering, sampling, selection
 
 NAN = float("nan")
 
@@ -30,18 +31,44 @@ def test_uniform_is_evenly_spaced(xyz):
     assert uniform_sample(df, 40, mode="stride").count() == 34
 
 
+@pytest.mark.parametrize("slabs, fineness", [(1 << 16, 64), (5, 2)])
 @pytest.mark.parametrize("mode", ["exact", "stride"])
-def test_uniform_is_the_same_with_and_without_slabs(cloud, xyz, monkeypatch, mode):
+def test_uniform_takes_even_ranks_whatever_the_histograms(xyz, monkeypatch, mode, slabs, fineness):
     gauss = np.random.default_rng(2).standard_cauchy((700, 3))
     odd = xyz([*map(tuple, gauss), *[(None, 1, 1)] * 9, *[(NAN, 1, 1)] * 9, *[(0.5, 0, 0)] * 300], 5)
     flat = xyz([(1.0, float(i), 0.0) for i in range(50)])
     infinite = xyz([(math.inf, 0, 0), (-math.inf, 0, 0), *[(float(i), 0, 0) for i in range(30)]])
-    cases = [(cloud, 37), (cloud, 5000), (odd, 1), (odd, 17), (odd, 400), (flat, 7), (infinite, 5)]
-    slabs = [rows(uniform_sample(df, n, mode=mode)) for df, n in cases]
-    by_name = rows(uniform_sample(cloud, 9, mode=mode, order_by=["point_id"]))
-    monkeypatch.setattr(sampling, "PRUNED_SAMPLE", 0)
-    assert slabs == [rows(uniform_sample(df, n, mode=mode)) for df, n in cases]
-    assert by_name == rows(uniform_sample(cloud, 9, mode=mode, order_by=["point_id"]))
+    monkeypatch.setattr(selection, "SLABS", slabs)
+    monkeypatch.setattr(selection, "FINENESS", fineness)
+    for df, n in [(odd, 17), (odd, 400), (flat, 7), (infinite, 5)]:
+        everything = rows(df)
+        total = len(everything)
+        if mode == "exact":
+            want = [r for i, r in enumerate(everything) if (i + 1) * n // total > i * n // total]
+        else:
+            want = everything[:: math.floor(total / n + 0.5)]
+        assert rows(uniform_sample(df, n, mode=mode)) == want
+
+
+def test_uniform_by_other_orders_and_finer_histograms(cloud, monkeypatch):
+    cases = [(37, {}), (9, {"order_by": ["point_id"]}), (300, {"order_by": ["gpsTime"]})]
+    want = [rows(uniform_sample(cloud, n, **o)) for n, o in cases]
+    monkeypatch.setattr(selection, "SLABS", 7)
+    monkeypatch.setattr(selection, "FINENESS", 3)
+    assert want == [rows(uniform_sample(cloud, n, **o)) for n, o in cases]
+
+
+def test_uniform_sorts_little_of_a_skewed_cloud(spark, monkeypatch):
+    """Half of the rows lie in a thousandth of the range: the second histogram parts them."""
+    df = spark.range(200_000).selectExpr(
+        "IF(id % 2 = 0, id / 2e8, id / 2e3) AS x", "CAST(id AS double) AS y", "0D AS z"
+    )
+    ranked = []
+    original = sampling.with_global_index
+    monkeypatch.setattr(sampling, "with_global_index", lambda d, o: ranked.append(d.count()) or original(d, o))
+    monkeypatch.setattr(selection, "SLABS", 200)
+    assert uniform_sample(df, 100).count() == 100
+    assert ranked[0] < 200_000 / 10
 
 
 def test_uniform_with_products_beyond_64_bits(monkeypatch, xyz):
@@ -122,11 +149,22 @@ def test_random_is_uniform(spark):
     assert abs(got[0] - 10_000) < 200
 
 
-def test_random_global_path_equals_top_k(cloud, monkeypatch):
-    want = rows(random_sample(cloud, 500, seed=4))
-    monkeypatch.setattr(ordering, "TOP_K_ROWS", 50)
-    monkeypatch.setattr(sampling, "TOP_K_ROWS", 50)
-    assert rows(random_sample(cloud, 500, seed=4)) == want
+@pytest.mark.parametrize("bins", [4096, 1 << 20])
+def test_random_takes_the_least_draws(spark, monkeypatch, bins):
+    monkeypatch.setattr(selection, "BINS", bins)
+    rng = random.Random(3)
+    draws = [rng.randrange(1 << 60) for _ in range(300)] + [7] * 50 + [None] * 60 + [0, (1 << 60) - 1]
+    data = [(float(i % 17), 0.0, 0.0, d) for i, d in enumerate(draws)]
+    df = spark.createDataFrame(data, "x double, y double, z double, draw bigint").repartition(5)
+    order = sorted(data, key=lambda r: (1 << 60 if r[3] is None else r[3], r[0]))
+    for n in (1, 30, 52, 200, 380):
+        got = rows(random_sample(df, n, draw=F.col("draw")))
+        assert got == sorted(order[:n], key=lambda r: (r[0], r[3] is not None, r[3] or 0)), n
+
+
+def test_random_neither_sorts_nor_moves_rows(cloud):
+    text = plan(random_sample(cloud, 500, seed=4))
+    assert "Exchange" not in text and "Sort" not in text
 
 
 def test_random_with_shared_draws_still_returns_n(xyz):
@@ -155,6 +193,18 @@ def test_voxel_order_and_other_columns(spark):
     assert rows(by_id.select("name")) == [("b",), ("c",)]
 
 
+def test_voxel_with_cells_beyond_a_broadcast(cloud, xyz, monkeypatch):
+    odd = xyz([(1.0, 2.0, 3.0)] * 9 + [(1.0, 2.0, -0.0), (1.0, 2.0, 0.0), (9.0, 9.0, 9.0)])
+    with_nulls = cloud.withColumn("intensity", F.when(F.col("intensity") > 99, F.col("intensity")))
+    cases = [(cloud, 10, None), (cloud, 2.5, None), (odd, 3, None), (with_nulls, 4, ["intensity"]), (cloud, 4, ["point_id"])]
+    want = [rows(voxel_sample(df, c, order_by=o)) for df, c, o in cases]
+    text = plan(voxel_sample(cloud, 10))
+    assert "LeftSemi" in text and "BroadcastHashJoin" in text
+    monkeypatch.setattr(grouping, "BROADCAST_GROUPS", 0)
+    assert want == [rows(voxel_sample(df, c, order_by=o)) for df, c, o in cases]
+    assert "Join" not in plan(voxel_sample(cloud, 10))
+
+
 def test_samples_do_not_depend_on_partitioning(cloud):
     results = [
         (
