@@ -2,6 +2,7 @@
 
 import math
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,9 @@ from cloudmill.operators.sampling import voxel_sample
 from cloudmill.schema import XYZ
 from cloudmill.session import scratch_path
 
-# Each axis is cut at up to this many even steps and as many quantiles.
-CUTS = 8
+# Each axis is cut at so many even steps and as many quantiles, by the size of the sample:
+# from 17**3 to 41**3 cells.
+LEAST_CUTS, MOST_CUTS = 8, 20
 # Chosen points sent to the tasks in one job: some tens of megabytes.
 CENTRES_AT_ONCE = 500_000
 
@@ -54,66 +56,80 @@ def farthest_point_sample(
     if n >= df.count():
         return df
     pool = df.filter(has_coordinates())
+    places = pool.select(*XYZ)
     if method == "coreset":
-        chosen = _choose(_core_set(pool, cells, start), n, start)
-    else:
-        chosen = _choose(pool, n, start)
-    spark = df.sparkSession
+        places = _core_set(places, cells, start)
+    chosen = _rows_at(pool, _choose(places, n, start))
     chosen += _least_left(pool, chosen, n)
-    return spark.createDataFrame(chosen[1:] if reference_compat else chosen, df.schema)
+    return df.sparkSession.createDataFrame(chosen[1:] if reference_compat else chosen, df.schema)
 
 
-def _choose(pool: DataFrame, n: int, start) -> list[Row]:
-    """Greedy choice with one Spark job for many rounds.
+def _choose(places: DataFrame, n: int, start) -> list[tuple]:
+    """Greedy choice of coordinates, with one Spark job for many rounds.
 
-    Space is cut into cells. A job returns, for each cell, its farthest row and that
-    row's distance. Choosing a row only changes cells that come closer to it than
-    their own farthest row: others stay exact, so rounds go on without a job until
-    the best cell is one that changed. Then all changed cells are evaluated again,
-    each against only those chosen rows that can be the nearest somewhere in the cell.
-    Nothing but the chosen rows and one row per cell reaches the driver, and no job
-    depends on the result of an earlier one being kept.
+    Rows at the same coordinates are as far from all others, so x, y, z are all that is
+    needed; they are written once, without copies and in the order of the cells that space
+    is cut into. A job reads the cells asked for and returns each one's farthest place and
+    its distance. Choosing a place only changes cells that come closer to it than their own
+    farthest place: others stay exact, so rounds go on without a job until the best cell is
+    one that changed. Then all changed cells are evaluated again, each against only those
+    chosen places that can be the nearest somewhere in the cell. Nothing but the chosen
+    places and one place per cell reaches the driver, and no job depends on the result of
+    an earlier one being kept.
     """
-    order = ordering_columns(pool)
+    cuts = min(MOST_CUTS, max(LEAST_CUTS, math.ceil(n ** (1 / 3))))
+    quantiles = [(i + 1) / (cuts + 1) for i in range(cuts)]
     wanted = F.lit(True) if start is None else at_point(start)
-    summary = pool.agg(
+    summary = places.agg(
         *[F.min(c).alias(f"lo_{c}") for c in XYZ],
         *[F.max(c).alias(f"hi_{c}") for c in XYZ],
-        *[
-            F.percentile_approx(c, [(i + 1) / (CUTS + 1) for i in range(CUTS)], 200).alias(f"q_{c}")
-            for c in XYZ
-        ],
-        F.min(F.when(wanted, F.struct(*order))).alias("seed"),
+        *[F.percentile_approx(c, quantiles, 200).alias(f"q_{c}") for c in XYZ],
+        F.min(F.when(wanted, F.struct(*XYZ))).alias("seed"),
     ).first()
-    seed = summary["seed"]
-    if seed is None:
+    if summary["seed"] is None:
         if start is not None:
             raise ValueError(f"no row of the point cloud lies at {tuple(start)}")
         return []
-    seed = Row(*pool.columns)(*[seed[c] for c in pool.columns])
-
-    cuts = [_cuts(summary[f"lo_{c}"], summary[f"hi_{c}"], summary[f"q_{c}"]) for c in XYZ]
-    celled = pool.withColumn(_CELL, _cell_number(cuts))
+    borders = [_cuts(summary[f"lo_{c}"], summary[f"hi_{c}"], summary[f"q_{c}"], cuts) for c in XYZ]
+    path = scratch_path(places.sparkSession, "places")
+    celled = places.distinct().withColumn(_CELL, _cell_number(borders))
+    celled.sortWithinPartitions(_CELL).write.parquet(path)
+    celled = places.sparkSession.read.parquet(path)
     cells = _Cells(
         celled.groupBy(_CELL)
         .agg(*[F.min(c).alias(f"lo_{c}") for c in XYZ], *[F.max(c).alias(f"hi_{c}") for c in XYZ])
         .collect()
     )
 
-    chosen = [seed]
-    cells.add_centre(seed)
+    chosen = [tuple(summary["seed"])]
+    cells.add_centre(chosen[0])
     while len(chosen) < n:
         while (best := cells.farthest()) is None:
-            for row in _evaluate(celled, cells.stale_centres(), order):
-                cells.refresh(row, pool.columns)
-        distance, row = best
+            for row in _evaluate(celled, cells.stale_centres(), (2 * cuts + 1) ** 3):
+                cells.refresh(row)
+        distance, place = best
         if distance == 0:
             break
-        chosen.append(row)
-        cells.add_centre(row)
+        chosen.append(place)
+        cells.add_centre(place)
     return chosen
 
 
+def _rows_at(pool: DataFrame, places: list[tuple]) -> list[Row]:
+    """The least row at each of the chosen places, in the order of the choice."""
+    if not places:
+        return []
+    at = [f"{_CELL}_{c}" for c in XYZ]
+    table = pa.table({c: pa.array([p[i] for p in places], pa.float64()) for i, c in enumerate(at)})
+    lists = F.broadcast(pool.sparkSession.createDataFrame(table))  # the sample itself
+    same = reduce(lambda a, b: a & b, (F.col(c) == F.col(a) for c, a in zip(XYZ, at)))
+    near = pool.join(lists, same, "left_semi")
+    found = near.groupBy(*[(F.col(c) + F.lit(0.0)).alias(a) for c, a in zip(XYZ, at)])
+    rows = found.agg(F.min(F.struct(*ordering_columns(pool))).alias(_CELL)).select(f"{_CELL}.*").collect()
+    least = {tuple(row[c] for c in XYZ): row for row in rows}
+    return [Row(*pool.columns)(*[least[p][c] for c in pool.columns]) for p in places]
+
+
 def _least_left(pool: DataFrame, chosen: list[Row], n: int) -> list[Row]:
     """Complete a sample once every row left coincides with a chosen one: least rows first.
 
@@ -132,12 +148,13 @@ def _least_left(pool: DataFrame, chosen: list[Row], n: int) -> list[Row]:
     return filled
 
 
-def _evaluate(celled: DataFrame, centres: list[tuple], order: list[Column]) -> list[Row]:
-    """The farthest row of each given cell, measured to that cell's centres."""
-    # One row per cell, at most (2 CUTS + 1)^3 of them, with CENTRES_AT_ONCE points in all.
+def _evaluate(celled: DataFrame, centres: list[tuple], most: int) -> list[Row]:
+    """The farthest place of each given cell, measured to that cell's centres."""
+    # One row per cell, with CENTRES_AT_ONCE points in all.
+    ids = [cell for cell, _ in centres]
     table = pa.table(
         {
-            _CELL: pa.array([cell for cell, _ in centres], pa.int32()),
+            _CELL: pa.array(ids, pa.int32()),
             _CENTRES: pa.array(
                 [[dict(zip(XYZ, p)) for p in points] for _, points in centres],
                 pa.list_(pa.struct([(c, pa.float64()) for c in XYZ])),
@@ -150,12 +167,13 @@ def _evaluate(celled: DataFrame, centres: list[tuple], order: list[Column]) -> l
         dx, dy, dz = (F.col(c) - centre.getField(c) for c in XYZ)
         return dx * dx + dy * dy + dz * dz
 
-    scored = celled.join(lists, _CELL).withColumn(
-        _NEARNESS, -F.array_min(F.transform(_CENTRES, squared))
+    scored = (
+        celled.filter(F.col(_CELL).between(min(ids), max(ids)))
+        .join(lists, _CELL)
+        .withColumn(_NEARNESS, -F.array_min(F.transform(_CENTRES, squared)))
     )
-    return least_row_per_group(
-        scored, [_CELL], [F.col(_NEARNESS), *order, F.col(_CELL)], at_most=(2 * CUTS + 1) ** 3
-    ).collect()
+    order = [F.col(c) for c in (_NEARNESS, *XYZ, _CELL)]
+    return least_row_per_group(scored, [_CELL], order, at_most=most).collect()
 
 
 class _Cells:
@@ -170,13 +188,13 @@ class _Cells:
         # Upper bound of the distance of a cell's rows; exact where not stale.
         self.bound = np.full(len(boxes), math.inf)
         self.stale = np.ones(len(boxes), dtype=bool)
-        self.rows: list[Row | None] = [None] * len(boxes)
+        self.places: list[tuple | None] = [None] * len(boxes)
         self.centres: list[list[tuple]] = [[] for _ in boxes]
         # Least over all centres of the distance to a cell's far corner.
         self.reach = np.full(len(boxes), math.inf)
 
-    def add_centre(self, row: Row) -> None:
-        point = np.array([row[c] for c in XYZ], dtype=float)
+    def add_centre(self, place: tuple) -> None:
+        point = np.array(place, dtype=float)
         # Rounding is monotone, so these bound the distances Spark computes.
         near = _sum_squares(np.maximum(np.maximum(self.lo - point, point - self.hi), 0.0))
         far = _sum_squares(np.maximum(np.abs(self.lo - point), np.abs(self.hi - point)))
@@ -188,8 +206,8 @@ class _Cells:
         for i in np.flatnonzero(touched):
             self.centres[i].append((near[i], centre))
 
-    def farthest(self) -> tuple[float, Row] | None:
-        """Best exact cell, or None if a stale cell might hold a row as good."""
+    def farthest(self) -> tuple[float, tuple] | None:
+        """Best exact cell, or None if a stale cell might hold a place as good."""
         exact = ~self.stale
         if not exact.any():
             return None
@@ -197,7 +215,7 @@ class _Cells:
         if self.stale.any() and self.bound[self.stale].max() >= best:
             return None
         tied = np.flatnonzero(exact & (self.bound == best))
-        return best, min((self.rows[i] for i in tied), key=_sort_key)
+        return best, min(self.places[i] for i in tied)
 
     def stale_centres(self) -> list[tuple]:
         """Stale cells with the centres that can matter there, most promising cells first.
@@ -216,36 +234,29 @@ class _Cells:
             out.append((self.ids[i], [centre for _, centre in kept]))
         return out
 
-    def refresh(self, row: Row, columns) -> None:
+    def refresh(self, row: Row) -> None:
         i = self.at[row[_CELL]]
         self.bound[i] = -row[_NEARNESS]
         self.stale[i] = False
-        self.rows[i] = Row(*columns)(*[row[c] for c in columns])
+        self.places[i] = tuple(row[c] for c in XYZ)
 
 
-def _core_set(pool: DataFrame, cells: int, start) -> DataFrame:
-    """The least row of each grid cell and those at `start`, written once for later passes."""
-    core = voxel_sample(pool, cells)
-    if start is not None:
-        at_start = least_row_per_group(
-            pool.filter(at_point(start)), XYZ, ordering_columns(pool), at_most=1
-        )
-        core = core.unionByName(at_start.select(*pool.columns))
-    path = scratch_path(pool.sparkSession, "coreset")
-    core.write.parquet(path)
-    return pool.sparkSession.read.schema(pool.schema).parquet(path)
+def _core_set(places: DataFrame, cells: int, start) -> DataFrame:
+    """The least place of each grid cell, and the one at `start`."""
+    core = voxel_sample(places, cells)
+    return core if start is None else core.unionByName(places.filter(at_point(start)).distinct())
 
 
-def _cuts(lo: float, hi: float, quantiles: list[float]) -> list[float]:
+def _cuts(lo: float, hi: float, quantiles: list[float], cuts: int) -> list[float]:
     """Cell borders inside (lo, hi]: even steps follow space, quantiles follow density."""
-    even = [lo + (hi - lo) * (i + 1) / (CUTS + 1) for i in range(CUTS)]
+    even = [lo + (hi - lo) * (i + 1) / (cuts + 1) for i in range(cuts)]
     return sorted({v for v in even + list(quantiles) if lo < v <= hi})
 
 
 def _cell_number(cuts: list[list[float]]) -> Column:
     number = F.lit(0)
     for axis, borders in zip(XYZ, cuts):
-        number = number * F.lit(2 * CUTS + 1) + _slab(F.col(axis), borders, 0)
+        number = number * F.lit(len(borders) + 1) + _slab(F.col(axis), borders, 0)
     return number
 
 
