@@ -27,7 +27,8 @@ from cloudmill.plans.versions import survey_table, utc
 from cloudmill.schema import LAYOUTS, RGB, WHOLE_NUMBERS, XYZ
 from cloudmill.session import scratch_path
 from cloudmill.sources.delimited import read_delimited, read_xyz, write_csv, write_xyz
-from cloudmill.sources.versioned import PointTable
+from cloudmill.sources.ingest import ingest_files
+from cloudmill.sources.versioned import PointTable, drop_table, list_tables
 
 K = 10
 RADIUS = 5.0
@@ -443,6 +444,70 @@ def _xyz_roundtrip(spark, sf_dir):
     return read_xyz(spark, path)
 
 
+# ---- files to named tables
+
+FILED = ", ".join(LAYOUTS[16])
+
+
+def new_table(spark: SparkSession, name: str) -> tuple[str, str]:
+    """A name that the catalog does not hold any more, and an unused place."""
+    drop_table(spark, name)
+    return name, scratch_path(spark, name)
+
+
+@query(
+    "ingest_append",
+    on_points(
+        f"""SELECT {FILED} FROM points WHERE classification < 5 UNION ALL
+            SELECT {FILED.replace('gpsTime', 'NULL AS gpsTime')} FROM points WHERE classification >= 5"""
+    ),
+)
+def _ingest_append(spark, sf_dir):
+    """Two folders of different layouts; the first creates the table, in z-order."""
+    cloud, folder = points(spark, sf_dir), scratch_path(spark, "files")
+    write_csv(cloud.filter("classification < 5").select(*LAYOUTS[16]), f"{folder}/a", header=True)
+    write_csv(cloud.filter("classification >= 5").select(*LAYOUTS[15]), f"{folder}/b")
+    name, place = new_table(spark, "cloudmill_appended")
+    for part in ("a", "b"):
+        ingest_files(spark, f"{folder}/{part}", name, location=place)
+    return PointTable.named(spark, name).read()
+
+
+@query(
+    "ingest_overwrite",
+    on_points(f"SELECT {FILED} FROM points WHERE classification NOT IN (3, 7) OR z >= 5"),
+)
+def _ingest_overwrite(spark, sf_dir):
+    """A second folder replaces the two classes that it holds."""
+    cloud, folder = points(spark, sf_dir).select(*LAYOUTS[16]), scratch_path(spark, "files")
+    write_csv(cloud, f"{folder}/a", header=True)
+    write_csv(cloud.filter("classification IN (3, 7) AND z >= 5"), f"{folder}/b", header=True)
+    name, place = new_table(spark, "cloudmill_overwritten")
+    ingest_files(spark, f"{folder}/a", name, location=place, partition_by=["classification"])
+    ingest_files(spark, f"{folder}/b", name, mode="overwrite")
+    return PointTable.named(spark, name).read().select(*LAYOUTS[16])
+
+
+@query(
+    "list_tables",
+    on_points(
+        """SELECT 'cloudmill_returns_' || cast(cast(edgeOfFlightLine AS int) AS varchar) AS "tableName",
+                  count(*) AS points FROM points GROUP BY ALL"""
+    ),
+)
+def _list_tables(spark, sf_dir):
+    """Named tables, one for each value of a flag, with the points that each one holds."""
+    cloud = points(spark, sf_dir)
+    counts = []
+    for edge in (0, 1):
+        name, place = new_table(spark, f"cloudmill_returns_{edge}")
+        table = PointTable.create_named(spark, name, cloud.schema, location=place)
+        table.append(cloud.filter(F.col("edgeOfFlightLine") == edge))
+        stored = PointTable.named(spark, name).read()
+        counts.append(stored.agg(F.lit(name).alias("tableName"), F.count("*").alias("points")))
+    return list_tables(spark).join(reduce(DataFrame.unionAll, counts), "tableName")
+
+
 # ---- versioned table
 
 SECOND_COPY = "SELECT {0} FROM points UNION ALL SELECT {0} FROM points WHERE survey_year = 1995 AND z >= 9"

@@ -1,13 +1,15 @@
 """Delimited point files: comma-separated, one point per line, optional header."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cloudmill.schema import ALL_COLUMNS, LAYOUTS, RGB, WHOLE_NUMBERS, XYZ, point_schema
 
 _LINE = "__pt_line"
 _FIELDS = "__pt_fields"
+_MALFORMED = "__pt_malformed"
 
 
 def read_delimited(
@@ -24,7 +26,7 @@ def read_delimited(
     The number of fields tells which layout a line has (13, 15 or 16 columns), so files
     of different layouts may be mixed; columns a layout lacks are NULL. A header must
     name the columns of its layout in order, in any case: a file whose columns sit
-    elsewhere is refused instead of shifted.
+    elsewhere is refused instead of shifted. Fields may be quoted.
 
     `default_rgb` fills colours that are absent. `whole_numbers` truncates the integer
     attributes toward zero. A line that fits no layout or does not parse fails the
@@ -37,15 +39,17 @@ def read_delimited(
         .select(F.trim("value").alias(_LINE))
         .filter((F.length(_LINE) > 0) & _is_point(strict=corrupt_column is None))
     )
-    fields = lines.withColumn(_FIELDS, _aligned(F.split(_LINE, ",", -1)))
-    text = {c: F.nullif(F.col(_FIELDS)[i], F.lit("")) for i, c in enumerate(ALL_COLUMNS)}
+    parsed = lines.withColumns({_fields(n): _parsed(n) for n in LAYOUTS})
+    held = {c: [n for n, names in LAYOUTS.items() if c in names] for c in ALL_COLUMNS}
+    text = {c: F.coalesce(*[F.col(_fields(n))[c] for n in held[c]]) for c in ALL_COLUMNS}
     if corrupt_column is None:
-        points = fields.select(*[text[c].cast("double").alias(c) for c in columns])
+        points = parsed.select(*[text[c].cast("double").alias(c) for c in columns])
     else:
-        broken = F.col(_FIELDS).isNull()
+        fits = [F.col(_fields(n)).isNotNull() & F.col(_fields(n))[_MALFORMED].isNull() for n in LAYOUTS]
+        broken = ~reduce(lambda a, b: a | b, fits)
         for t in text.values():
             broken = broken | (t.isNotNull() & t.try_cast("double").isNull())
-        points = fields.select(
+        points = parsed.select(
             *[text[c].try_cast("double").alias(c) for c in columns],
             F.when(broken, F.col(_LINE)).alias(corrupt_column),
         )
@@ -74,10 +78,12 @@ def _is_point(strict: bool) -> Column:
     )
     point = F.when(header & ~known, _refuse("header matches no known layout: ")).otherwise(~header)
     if strict:
-        # Commas are counted in the text: a filter on the split fields would split twice.
-        commas = F.length(line) - F.length(F.replace(line, F.lit(","), F.lit("")))
-        fits = (commas + 1).isin(*LAYOUTS)
-        point = F.when(fits, point).otherwise(_refuse("line has neither 13, 15 nor 16 fields: "))
+        # Counted in the text: a filter on the parsed fields would parse twice. A quoted comma
+        # is counted too, but a field that holds one is no number.
+        fits = (_commas(line) + 1).isin(*LAYOUTS)
+        quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+        point = F.when(~fits, _refuse("line has neither 13, 15 nor 16 fields: ")).otherwise(point)
+        point = F.when(quotes % 2 == 1, _refuse("a quote is not closed: ")).otherwise(point)
     return point
 
 
@@ -85,14 +91,23 @@ def _refuse(reason: str) -> Column:
     return F.raise_error(F.concat(F.lit(reason), F.col(_LINE))).cast("boolean")
 
 
-def _aligned(fields: Column) -> Column:
-    """Fields in the order of ALL_COLUMNS, NULL where the line's layout lacks one."""
-    missing = F.lit(None).cast(T.StringType())
-    aligned = F.lit(None).cast(T.ArrayType(T.StringType()))
-    for width, names in LAYOUTS.items():
-        placed = [fields[names.index(c)] if c in names else missing for c in ALL_COLUMNS]
-        aligned = F.when(F.size(fields) == width, F.array(*placed)).otherwise(aligned)
-    return aligned
+def _fields(width: int) -> str:
+    return f"{_FIELDS}_{width}"
+
+
+def _parsed(width: int) -> Column:
+    """The fields of a line of this width as text, by Spark's CSV parser; else NULL."""
+    schema = ", ".join(f"`{c}` string" for c in (*LAYOUTS[width], _MALFORMED))
+    options = {
+        "columnNameOfCorruptRecord": _MALFORMED,
+        "ignoreLeadingWhiteSpace": "true",
+        "ignoreTrailingWhiteSpace": "true",
+    }
+    return F.when(_commas(F.col(_LINE)) == width - 1, F.from_csv(_LINE, F.lit(schema), options))
+
+
+def _commas(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(","), F.lit("")))
 
 
 def read_xyz(spark: SparkSession, path: str) -> DataFrame:

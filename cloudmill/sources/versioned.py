@@ -90,6 +90,40 @@ class PointTable:
         )
         return cls(spark, path)
 
+    @classmethod
+    def create_named(
+        cls,
+        spark: SparkSession,
+        name: str,
+        schema: T.StructType,
+        *,
+        location: str | None = None,
+        partition_by=(),
+        zorder_bits: int | None = None,
+    ) -> "PointTable":
+        """Create an empty table that the session catalog knows by `name`.
+
+        Without a `location`, it lies in the warehouse. The catalog's entry is the table's
+        definition; its description says where the table is.
+        """
+        if spark.catalog.tableExists(name):
+            raise ValueError(f"{name} is in the catalog already")
+        if location is None:
+            warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+            location = f"{warehouse}/{name.replace('.', '/')}.points"
+        table = cls.create(spark, location, schema, partition_by=partition_by, zorder_bits=zorder_bits)
+        spark.catalog.createTable(
+            name, path=f"{table.path}/definition", source="parquet", schema=_SCHEMA, description=table.path
+        )
+        return table
+
+    @classmethod
+    def named(cls, spark: SparkSession, name: str) -> "PointTable":
+        """The table that the session catalog knows by `name`."""
+        if not spark.catalog.tableExists(name):
+            raise ValueError(f"no table {name} in the catalog")
+        return cls(spark, spark.catalog.getTable(name).description)
+
     # ---- reading
 
     def read(self, snapshot_id: int | None = None, *, as_of: Moment | None = None) -> DataFrame:
@@ -498,6 +532,11 @@ def list_tables(spark: SparkSession) -> DataFrame:
     return spark.sql("SHOW TABLES").select("tableName")
 
 
+def drop_table(spark: SparkSession, name: str) -> None:
+    """Take a named table out of the session catalog, if it is there; its files stay."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def _relative_path() -> Column:
     """Path of a row's file below data/. The metadata column gives it percent-encoded."""
     encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
