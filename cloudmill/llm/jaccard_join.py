@@ -15,9 +15,10 @@ from cloudmill.llm.common import Words, chunks, mixed, saved, table
 from cloudmill.llm.components import components
 
 _PLACES = np.random.Generator(np.random.PCG64(5)).integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
-_CHUNK = 1_000_000  # characters hashed at a time
+_CHUNK = 400_000  # characters hashed at a time
 _SLICES = 64  # parts in which frequency sketches are added up
 _NODE_BITS = 24  # bits of the filters that say which sets a later pass needs
+_PIVOTS = 3  # pairs of a set that are verified first, to join large groups with few pairs
 
 
 class Shingles:
@@ -84,9 +85,16 @@ class JaccardJoin:
     def __init__(
         self, docs: DataFrame, words: int, percent: int, orders: int, sketch_bits: int, text: str
     ) -> None:
+        body = F.col(f"`{text}`").cast("string")
+        # Ids go through pandas as text, which is exact beside nulls. Without one, rows are told
+        # apart by their text.
+        unnamed = F.when(F.col("doc_id").isNull(), F.xxhash64(F.coalesce(body, F.lit(""))))
         self.docs = docs.select(
-            F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")
+            F.col("doc_id").cast("bigint").cast("string").alias("doc_id"),
+            unnamed.cast("string").alias("same"),
+            body.alias("text"),
         )
+        self.texts = self.docs.select("text")
         self.words, self.percent, self.orders, self.bits = words, percent, orders, sketch_bits
         self.spark = docs.sparkSession
 
@@ -105,7 +113,7 @@ class JaccardJoin:
                 node = pd.array(sh.nodes, dtype="Int64")
                 node[~some] = pd.NA
                 yield pd.DataFrame(
-                    {"doc_id": rows["doc_id"].astype("Int64"), "node": node, "n": sh.sizes, "part": -1, "counts": None}
+                    {"doc_id": rows["doc_id"], "same": rows["same"], "node": node, "n": sh.sizes, "part": -1, "counts": None}
                 )
             parts = [
                 zlib.compress(p.astype("<u4" if p.max(initial=0) < 2**32 else "<u8").tobytes(), 1)
@@ -113,7 +121,7 @@ class JaccardJoin:
             ]
             blank = pd.array([pd.NA] * len(parts), dtype="Int64")
             yield pd.DataFrame(
-                {"doc_id": blank, "node": blank, "n": 0, "part": range(len(parts)), "counts": parts}
+                {"doc_id": None, "same": None, "node": blank, "n": 0, "part": range(len(parts)), "counts": parts}
             )
 
         def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,7 +136,7 @@ class JaccardJoin:
                 {"part": list(sums), "counts": [s.astype("<i8").tobytes() for s in sums.values()]}
             )
 
-        schema = "doc_id bigint, node bigint, n bigint, part int, counts binary"
+        schema = "doc_id string, same string, node bigint, n bigint, part int, counts binary"
         both = saved(self.docs.mapInPandas(read, schema), "shingle-sets")
         sketches = both.filter("part >= 0").select("part", "counts")
         total = (  # at most orders * _SLICES rows of fixed size reach the driver
@@ -142,7 +150,8 @@ class JaccardJoin:
             rank = np.empty(len(row), dtype=np.uint32)
             rank[np.argsort(row, kind="stable")] = np.arange(len(row), dtype=np.uint32)
             self.ranks.append(rank)
-        return both.filter("part < 0").select("doc_id", "node", "n")
+        names = [F.col(c).cast("bigint").alias(c) for c in ("doc_id", "same")]
+        return both.filter("part < 0").select(*names, "node", "n")
 
     def needed(self, nodes: DataFrame) -> np.ndarray:
         """A bit filter of fixed size (2**_NODE_BITS) that passes at least these set hashes."""
@@ -179,7 +188,8 @@ class JaccardJoin:
         return sets
 
     def postings(self, order: int, wanted: np.ndarray | None) -> DataFrame:
-        """Prefix tokens of sets under one order (token, node), and each set's bound (node, n, bound).
+        """Prefix tokens of sets under one order (token, node, the set's size n and the token's
+        place in it), and each set's bound (node, n, bound).
 
         Tokens are ordered by how full their sketch bucket is, then by a hash: the common ones
         come last. A set of n keeps its first n - ceil(percent * n / 100) + 1 tokens: two sets
@@ -191,46 +201,74 @@ class JaccardJoin:
 
         def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for group in sets(batches):
-                tokens, nodes, sizes = [], [], []
+                tokens, nodes, sizes, whole = [], [], [], []
                 for node, s in group:
                     t = _turned(s, order)
                     key = (rank.value[t >> np.uint64(64 - bits)].astype(np.uint64) << np.uint64(64 - bits)) | (t & low)
                     length = len(s) - -(-percent * len(s) // 100) + 1
-                    tokens.append(np.partition(key, length - 1)[:length] if length < len(s) else key)
+                    tokens.append(np.sort(np.partition(key, length - 1)[:length] if length < len(s) else key))
                     nodes.append(node)
                     sizes.append(min(length, len(s)))
+                    whole.append(len(s))
                 if not nodes:
                     continue
                 flat = np.concatenate(tokens).view(np.int64)
+                place = np.concatenate([np.arange(k) for k in sizes])
                 yield pd.DataFrame(
-                    {"token": flat, "node": np.repeat(nodes, sizes), "n": 0, "bound": None}
+                    {"token": flat, "node": np.repeat(nodes, sizes), "n": np.repeat(whole, sizes), "place": place, "bound": None}
                 )
                 if wanted is not None:
                     yield pd.DataFrame(
                         {
                             "token": 0,
                             "node": nodes,
-                            "n": [len(s) for _, s in group],
+                            "n": whole,
+                            "place": 0,
                             "bound": [_bounded(s, len(s)) for _, s in group],
                         }
                     )
 
-        schema = "token bigint, node bigint, n bigint, bound binary"
-        return saved(self.docs.mapInPandas(prefixes, schema), f"prefixes-{order}")
+        schema = "token bigint, node bigint, n int, place int, bound binary"
+        return saved(self.texts.mapInPandas(prefixes, schema), f"prefixes-{order}")
 
     def pivots(self, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Tokens of two sets or more, and pairs of each such token's sets with its least set."""
+        """Tokens of two sets or more, and pairs of each such token's sets with its least set.
+
+        A pair comes with the number of tokens that it was found by.
+        """
         lists = (
             postings.groupBy("token")
             .agg(F.min("node").alias("b"), F.max("node").alias("last"))
             .filter("b <> last")
             .select("token", "b")
         )
-        shared = saved(postings.join(lists, "token").select("token", F.col("node").alias("a"), "b"), "shared")
-        return shared.select("token", F.col("a").alias("node")), shared.filter("a <> b").select("a", "b").distinct()
+        columns = ("token", F.col("node").alias("a"), "n", "place", "b")
+        shared = saved(postings.join(lists, "token").select(*columns), "shared")
+        pairs = shared.filter("a <> b").groupBy("a", "b").agg(F.count("token").alias("found"))
+        return shared.select("token", F.col("a").alias("node"), "n", "place"), pairs
+
+    def first_candidates(self, pairs: list[DataFrame]) -> DataFrame:
+        """Of the pairs under every order, each set's few that were found by most tokens.
+
+        The others are left to the second round, unless these join them.
+        """
+        both = reduce(
+            lambda x, y: x.join(y.withColumnRenamed("found", "more"), ["a", "b"]).select(
+                "a", "b", (F.col("found") + F.col("more")).alias("found")
+            ),
+            pairs,
+        )
+        rank = F.row_number().over(Window.partitionBy("a").orderBy(F.col("found").desc(), "b"))
+        return both.withColumn("rank", rank).filter(F.col("rank") <= _PIVOTS).select("a", "b")
 
     def pairs(self, shared: DataFrame, roots: DataFrame) -> DataFrame:
-        """All pairs of sets that share a token and are not joined yet."""
+        """Pairs of sets that share a token, may be similar and are not joined yet.
+
+        Sizes differ by a quarter at most, so lists are split by classes of size, and a set is
+        met by those of its own class and the next. Sets that reach the similarity do so from
+        their first common token on: it must stand early enough in both.
+        """
+        percent = self.percent
         joined = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         several = (
             joined.groupBy("token")
@@ -238,15 +276,25 @@ class JaccardJoin:
             .filter("lo <> hi")
             .select("token")
         )
-        left = saved(joined.join(several, "token"), "unjoined")
-        a = left.select("token", F.col("node").alias("a"), F.col("root").alias("ra"))
-        b = left.select("token", F.col("node").alias("b"), F.col("root").alias("rb"))
-        return a.join(b, "token").filter("a > b and ra <> rb").select("a", "b").distinct()
+        size = F.floor(F.log(101 / percent, F.col("n"))).cast("int")  # a little wider than allowed
+        left = saved(joined.join(several, "token").withColumn("size", size), "unjoined")
+        sides = {
+            x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n", "place")] for x in ("a", "b")
+        }
+        larger = left.select("token", "size", *sides["a"])
+        smaller = left.select(
+            "token", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("size"), *sides["b"]
+        )
+        enough = (
+            f"(n_a > n_b or n_a = n_b and node_a > node_b) and root_a <> root_b and 100 * n_b >= {percent} * n_a "
+            f"and {100 + percent} * least(n_a - place_a, n_b - place_b) >= {percent} * (n_a + n_b)"
+        )
+        pair = [F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")]
+        return larger.join(smaller, ["token", "size"]).filter(enough).select(*pair).distinct()
 
-    def verified(self, candidates: list[DataFrame], bounds: DataFrame, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """Links among the pairs found under every order; also all pairs that were looked at."""
+    def verified(self, both: DataFrame, bounds: DataFrame, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """Links among the pairs; also all pairs that were looked at."""
         percent = self.percent
-        both = reduce(lambda x, y: x.join(y, ["a", "b"]), candidates)
         if done is not None:
             both = both.join(done, ["a", "b"], "left_anti")
         both = saved(both, "candidates")
@@ -272,7 +320,7 @@ class JaccardJoin:
             for group in filter(None, sets(batches)):
                 yield pd.DataFrame({"node": [k for k, _ in group], "s": [s.view(np.int64) for _, s in group]})
 
-        held = saved(self.docs.mapInPandas(tokens, "node bigint, s array<bigint>"), "sets")
+        held = saved(self.texts.mapInPandas(tokens, "node bigint, s array<bigint>"), "sets")
         held = held.dropDuplicates(["node"])
         common = F.size(F.array_intersect("sa", "sb")).cast("bigint")
         links = (
@@ -299,16 +347,24 @@ def jaccard_groups(
     are one class. Candidates must share a prefix token under each of ``orders`` global token
     orders, each with its own corpus-wide frequency sketch of 2**``sketch_bits`` counters: the
     pair sets of all orders are intersected, a bound on the intersection leaves hopeless pairs
-    out, and the rest is verified exactly on full sets. First the pairs of each token's sets
-    with its least set are taken, whose links join large groups of copies with few pairs; then
-    all pairs that share a token and are not joined yet, so that no link between groups is
-    lost. Shingles are compared by 64-bit hash, and classes by a 64-bit hash of the set.
+    out, and the rest is verified exactly on full sets. First each set is paired with the few
+    least sets of its tokens' lists that it shares most tokens with, whose links join large
+    groups of copies with few pairs; then all pairs follow that share a token, have sizes and
+    places of the token that allow the similarity, and are not joined yet, so that no link
+    between groups is lost. Shingles are compared by 64-bit hash, and classes by a 64-bit hash of the set.
 
     Defined results: a null, empty or word-less text has no shingles and is alone; texts with
     fewer words are one shingle; repeated rows are one class; a null doc_id links like others,
     and gets its group's least id, null if it has none; no rows give no rows; other columns are
     ignored.
     """
+    return _grouped(docs, words, percent, orders, sketch_bits, text).drop("same")
+
+
+def _grouped(
+    docs: DataFrame, words: int, percent: int, orders: int, sketch_bits: int, text: str
+) -> DataFrame:
+    """As ``jaccard_groups``, with a hash of the text, ``same``, for rows without a doc_id."""
     if orders < 2:
         raise ValueError("candidates are the intersection of two orders or more")
     join = JaccardJoin(docs, words, percent, orders, sketch_bits, text)
@@ -316,16 +372,16 @@ def jaccard_groups(
     shared, pairs, bounds, wanted = [], [], None, None
     for order in range(orders):
         found = join.postings(order, wanted)
-        lists, with_least = join.pivots(found.filter("bound is null").select("token", "node"))
+        lists, with_least = join.pivots(found.filter("bound is null").select("token", "node", "n", "place"))
         shared.append(lists)
         pairs.append(with_least)
         if wanted is None:
             wanted = join.needed(lists.select("node"))
         elif bounds is None:
             bounds = found.filter("bound is not null").select("node", "n", "bound").dropDuplicates(["node"])
-    first, seen = join.verified(pairs, bounds)
+    first, seen = join.verified(join.first_candidates(pairs), bounds)
     roots = components(first)
-    rest = [join.pairs(lists, roots) for lists in shared]
+    rest = reduce(lambda x, y: x.join(y, ["a", "b"]), (join.pairs(lists, roots) for lists in shared))
     second, _ = join.verified(rest, bounds, seen)
     joined = components(first.unionByName(second))
     grouped = saved(
@@ -333,30 +389,37 @@ def jaccard_groups(
     )
     least = grouped.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return grouped.join(least, "root", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")
+        "doc_id", "same", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")
     )
 
 
-def keep_one_of_each(docs: DataFrame, **join) -> DataFrame:
+def keep_one_of_each(
+    docs: DataFrame,
+    words: int = 5,
+    percent: int = 80,
+    orders: int = 2,
+    sketch_bits: int = 20,
+    text: str = "text",
+) -> DataFrame:
     """The rows of ``docs`` with the least doc_id of each group of similar texts.
 
-    Rows with the same doc_id are one document, of which one row stays; without a doc_id, one
-    row of each text that links with no document stays. Columns stay as they are.
+    Defined results: rows with the same doc_id are one document, of which one row stays. A row
+    without a doc_id goes if its group holds a document; of the others, one row of each text
+    stays. No rows give no rows. Columns stay as they are, whatever their names.
     """
-    groups = jaccard_groups(docs, **join)
-    kept = groups.filter("component_id is null or doc_id = component_id").select(
-        F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_kept")
-    )
-    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
-    text = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    first = Window.partitionBy("_kept", "_same").orderBy("_kept")
-    return (
-        docs.withColumns({"_kept": key, "_same": text})
-        .join(kept.distinct(), "_kept", "left_semi")
-        .withColumn("_first", F.row_number().over(first))
-        .filter("_first = 1")
-        .select(*docs.columns)
+    groups = _grouped(docs, words, percent, orders, sketch_bits, text)
+    kept = groups.filter("component_id is null or doc_id = component_id")
+    kept = kept.select(F.col("doc_id").alias("id"), "same").distinct()
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("doc_id").cast("bigint").alias("id"),
+        F.when(F.col("doc_id").isNull(), F.xxhash64(body)).alias("same"),
     )
+    alike = rows["id"].eqNullSafe(kept["id"]) & rows["same"].eqNullSafe(kept["same"])
+    first = F.row_number().over(Window.partitionBy("id", "same").orderBy("id"))
+    left = rows.join(kept, alike, "left_semi").withColumn("first", first)
+    return left.filter("first = 1").select("row.*")
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,7 +152,7 @@ def score_texts(
     spark = docs.sparkSession
     which = fold("doc_id", train_folds)
     source = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.col("doc_id").cast("bigint").cast("string").alias("doc_id"),  # exact beside nulls in pandas
         F.col(text).cast("string").alias("text"),
         F.when(which == held, F.lit(2)).when(which == deleted, F.lit(1)).otherwise(F.lit(0)).alias("role"),
     )
@@ -195,11 +195,11 @@ def score_texts(
                         parts["train"].append(_packed(train[a:b]))
                         parts["deleted"].append(_packed(out[a:b]))
                         parts["every"].append(_packed(every[a:b]) if gram == 1 else None)
-            yield pd.DataFrame({"block": name, "doc_id": pd.NA, "role": -1, "ids": None, "grams": None, **parts}).astype({"doc_id": "Int64"})
+            yield pd.DataFrame({"block": name, "doc_id": None, "role": -1, "ids": None, "grams": None, **parts})
             yield pd.DataFrame(
                 {
                     "block": name,
-                    "doc_id": pd.array([d for d, _, _ in rows], dtype="Int64"),
+                    "doc_id": [d for d, _, _ in rows],
                     "role": [r for _, r, _ in rows],
                     "ids": [_planes(rank[ids[a:b]], 4) for a, b in zip(offsets[:-1], offsets[1:], strict=True)],
                     "grams": [
@@ -212,7 +212,7 @@ def score_texts(
 
         for batch in batches:
             bodies, roles = batch["text"].tolist(), batch["role"].tolist()
-            names = [None if d != d or d is None else int(d) for d in batch["doc_id"].tolist()]
+            names = batch["doc_id"].tolist()
             for part in chunks(bodies, _CHUNK):
                 flat, offsets = _tokens(bodies[part])
                 held_tokens.append(flat)
@@ -225,7 +225,7 @@ def score_texts(
             yield from block()
 
     schema = (
-        "block string, doc_id bigint, role int, ids binary, grams binary, shard int, gram int, "
+        "block string, doc_id string, role int, ids binary, grams binary, shard int, gram int, "
         "size bigint, keys binary, train binary, deleted binary, every binary"
     )
     read_once = saved(source.mapInPandas(read, schema), "blocks")
@@ -342,12 +342,13 @@ def score_texts(
         )
 
     out_schema = (
-        "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
+        "doc_id string, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
         "base_score double, score double"
     )
     texts = read_once.filter("role >= 0").select("block", "doc_id", "role", "ids", "size")
     counts = answers.select("block", "shard", "gram", "keys", "every", "train")
-    return texts.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(score, out_schema)
+    scored = texts.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(score, out_schema)
+    return scored.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,7 +178,7 @@ def pack_documents(
         members: list[list] = []
         for batch in batches:
             for doc, body in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
-                doc = None if doc is None or doc != doc else int(doc)
+                doc = None if doc is None else int(doc)
                 data = (encode(body) if body else b"") + END
                 size = len(data) // 4
                 cut = size % capacity or capacity
@@ -207,7 +207,8 @@ def pack_documents(
             yield _packed(loads, members, capacity)
 
     source = docs.select(
-        F.col(id_column).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")
+        F.col(id_column).cast("bigint").cast("string").alias("doc_id"),  # exact beside nulls in pandas
+        F.col(text).cast("string").alias("text"),
     )
     full = F.col("load") >= capacity - slack
     bins = saved(source.mapInPandas(first_round, _BIN), "bins")

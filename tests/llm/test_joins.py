@@ -17,6 +17,7 @@ from cloudmill.llm.components import components
 from cloudmill.llm.embedding_dedup import dedup_embeddings
 from cloudmill.llm.jaccard_join import jaccard_groups, keep_one_of_each
 from cloudmill.llm.language_model import fit_weights, score_texts
+from cloudmill.llm.packing import pack_documents
 from cloudmill.llm.pieces import decode_pieces, encode_pieces, load, piece_digests
 
 
@@ -71,6 +72,42 @@ def test_jaccard_groups_equal_all_pairs(docs, rows, no_docs):
     assert jaccard_groups(no_docs, sketch_bits=10).count() == 0
 
 
+def test_ids_are_exact_beside_a_null_id(spark):
+    big = (1 << 53) + 1
+    texts = [(None, "a text without an id"), (big, "a text with a very large id"), (-big, "a text of its own here")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1)
+    assert {r.doc_id for r in jaccard_groups(docs, sketch_bits=10).collect()} == {None, big, -big}
+    assert {r.doc_id for r in score_texts(docs).collect()} == {None, big, -big}
+    assert {r.doc_id for r in pack_documents(docs).collect()} == {None, big, -big}
+
+
+def test_one_of_each_without_ids_and_with_clashing_names(spark):
+    same, other = "one two three four five six", "seven eight nine ten eleven twelve"
+    data = [(1, same), (None, same), (None, other), (None, other), (2, "x y"), (2, "x y"), (3, None), (4, ""), (None, None)]
+    docs = spark.createDataFrame([(*r, 7, 8, 9) for r in data], "doc_id bigint, body string, id int, same int, row int")
+    kept = keep_one_of_each(docs, text="body", sketch_bits=10)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.body, r.id) for r in kept.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    assert got == [(1, same, 7), (2, "x y", 7), (3, None, 7), (4, "", 7), (None, None, 7), (None, other, 7)]
+
+
+def test_jaccard_links_of_a_given_table_equal_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    sets = {}
+    for r in docs.collect():
+        w = words_of(r.text)
+        sets[r.doc_id] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    links = [
+        (a, b)
+        for a in sets
+        for b in sets
+        if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    ]
+    assert len(links) > 5
+    got = {r.doc_id: r.component_id for r in jaccard_groups(docs).collect()}
+    assert got == least_reachable(sets, links)
+
+
 def test_embeddings_equal_all_pairs(spark):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(40, 12))
