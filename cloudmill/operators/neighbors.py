@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,9 @@ GREEN = (34 * 255, 139 * 255, 34 * 255)
 BLUE = (0, 0, 255 * 255)
 WHITESMOKE = (245 * 255, 245 * 255, 245 * 255)
 
+# Times k rows that may be kept for the last pass, without a closer look.
+ENOUGH = 4
+
 _DIST = "__pt_distance"
 _SHELL = "__pt_shell"
 _FARTHEST = "__pt_farthest"
@@ -103,8 +107,12 @@ def _nearest(df: DataFrame, point, k: int, dedupe: bool, require_target: bool) -
     the k nearest non-empty shells hold at least k distinct rows, and nothing beyond
     them can be among the k nearest. The same pass tells whether the target exists.
 
-    One number comes back, so that the box around the answer is made of literals and
-    the second pass can skip row groups.
+    Where these shells hold far more than k rows, the nearest of them that hold a few times
+    k rows are looked at again: rows at different distances differ too, so the k-th distance
+    is as far as any of the k nearest can lie.
+
+    One number comes out, so that the box around the answer is made of literals and the
+    last pass can skip row groups.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -113,28 +121,50 @@ def _nearest(df: DataFrame, point, k: int, dedupe: bool, require_target: bool) -
         df.filter(has_coordinates())
         .withColumn(_DIST, squared_distance(point))
         .groupBy(F.when(~is_target, _shell(F.col(_DIST), k)).alias(_SHELL))
-        .agg(F.max(_DIST).alias("reach"))
+        .agg(F.max(_DIST).alias("reach"), F.count("*").alias("rows"))
         # The target's own group is NULL and sorts first.
         .orderBy(F.col(_SHELL).asc_nulls_first())
         .limit(k + 1)
+        .toArrow()
     )
-    found = shells.agg(
-        F.max("reach").alias("reach"), F.count_if(F.col(_SHELL).isNull()).alias("targets")
-    ).first()
-    if require_target and not found["targets"]:
+    has_target = len(shells) > 0 and not shells[_SHELL][0].is_valid
+    if require_target and not has_target:
         raise ValueError(f"no row of the point cloud lies at {tuple(point)}")
-    reach = 0.0 if found["reach"] is None else found["reach"]
+    shells = shells.slice(int(has_target), k)
+    reach = _reach(df, point, k, shells["reach"].to_numpy(), shells["rows"].to_numpy())
+    near = _within(df, point, reach)
+    if dedupe:
+        near = near.dropDuplicates()
+    return take_smallest(near, k, [F.col(_DIST), *ordering_columns(df)])
+
+
+def _reach(df: DataFrame, point, k: int, reaches: np.ndarray, rows: np.ndarray) -> float:
+    """A squared distance that the k nearest distinct rows do not exceed."""
+    if not len(reaches):
+        return 0.0
+    ends, wanted, last = rows.cumsum(), ENOUGH * k, len(rows) - 1
+    while ends[-1] > wanted:
+        at = min(int(np.searchsorted(ends, wanted)), last)
+        nearest = _within(df, point, float(reaches[at])).select(_DIST).distinct().orderBy(_DIST).limit(k)
+        found = nearest.agg(F.count(_DIST).alias("n"), F.max(_DIST).alias("reach")).first()
+        if found["n"] == k:
+            return found["reach"]
+        if at == last:
+            break
+        wanted *= ENOUGH  # copies: look further
+    return float(reaches[-1])
+
+
+def _within(df: DataFrame, point, reach: float) -> DataFrame:
+    """The rows up to a squared distance, without those at the point."""
     # Slack for the rounding of sqrt and for squares too small to represent: the box may
     # be loose but must not lose a row.
     half = math.sqrt(max(reach, 1e-300)) * (1 + 1e-12)
-    near = (
+    return (
         df.filter(within_box(point, half) & has_coordinates() & ~at_point(point))
         .withColumn(_DIST, squared_distance(point))
         .filter(F.col(_DIST) <= F.lit(reach))
     )
-    if dedupe:
-        near = near.dropDuplicates()
-    return take_smallest(near, k, [F.col(_DIST), *ordering_columns(df)])
 
 
 def _shell(squared: Column, k: int) -> Column:

@@ -37,6 +37,10 @@ def survey_table(spark: SparkSession, sf_dir: str) -> PointTable:
 
 
 def _build(spark: SparkSession, cloud: DataFrame) -> str:
+    # Read once; each commit then reads the years that it needs.
+    years = scratch_path(spark, "survey-years")
+    cloud.hint("rebalance", "survey_year").write.partitionBy("survey_year").parquet(years)
+    cloud = spark.read.schema(cloud.schema).parquet(years)
     path = scratch_path(spark, "surveys")
     table = PointTable.create(spark, path, cloud.schema, partition_by=["survey_year"])
     for year in range(1995, 2002):

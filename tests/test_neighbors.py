@@ -2,8 +2,10 @@ import math
 
 import pytest
 from helpers import plan, rows
+from pyspark.sql import functions as F
 
 from cloudmill import ball_query, ball_query_color, knn, knn_color
+from cloudmill.operators import neighbors
 
 NAN = float("nan")
 
@@ -49,6 +51,21 @@ def test_knn_equals_brute_force_for_many_k(spark, xyz):
         assert rows(knn(df, (0, 0, 0), k)) == sorted(distinct[:k])
 
 
+def test_last_pass_keeps_near_k_rows(spark, monkeypatch):
+    """Thousands of rows in each shell, and every row twice."""
+    df = spark.range(40_000).selectExpr("1 + id / 1e9 AS x", "0D AS y", "0D AS z").unionByName(
+        spark.range(20_000).selectExpr("1 + id / 1e9 AS x", "0D AS y", "0D AS z")
+    )
+    df = df.unionByName(spark.createDataFrame([(0.0, 0.0, 0.0)], df.schema)).cache()
+    kept = []
+    original = neighbors._within
+    monkeypatch.setattr(neighbors, "_within", lambda *a: kept.append(original(*a)) or kept[-1])
+    for k in (3, 3_000):
+        got = knn(df, (0, 0, 0), k).agg(F.count("x").alias("n"), F.max("x").alias("x")).first()
+        assert (got.n, got.x) == (k, 1 + (k - 1) / 1e9)
+        assert kept[-1].count() == 2 * k
+
+
 def test_knn_at_extreme_scales(xyz):
     tiny = [(0.0, 0.0, 0.0)] + [(i * 1e-170, 0.0, 0.0) for i in range(1, 6)]
     assert knn(xyz(tiny), (0, 0, 0), 3).count() == 3
