@@ -179,6 +179,8 @@ def score_texts(
             grams = _bigrams(ids, offsets, words, gram_bits)
             bi, at = np.unique(grams, return_inverse=True)
             every = np.bincount(ids, minlength=len(words))
+            # Texts of the deleted fold number only the bigrams that this fold has here.
+            deleted_at = np.cumsum(np.bincount(at[role == 1], minlength=len(bi)) > 0) - 1
             rank = np.empty(len(words), np.int64)
             rank[_by_frequency(every)] = np.arange(len(words))
             for gram, distinct, where, bits in ((1, words, ids, 64), (2, bi, at, gram_bits)):
@@ -203,7 +205,7 @@ def score_texts(
                     "role": [r for _, r, _ in rows],
                     "ids": [_planes(rank[ids[a:b]], 4) for a, b in zip(offsets[:-1], offsets[1:], strict=True)],
                     "grams": [
-                        _planes(at[a:b], 4) if r == 1 else None
+                        _planes(deleted_at[at[a:b]], 4) if r == 1 else None
                         for (_, r, _), a, b in zip(rows, offsets[:-1], offsets[1:], strict=True)
                     ],
                     "shard": -1, "gram": 0, "size": sizes, "keys": None, "train": None, "deleted": None, "every": None,
@@ -234,12 +236,18 @@ def score_texts(
         sizes = group["size"].to_numpy()
         keys = [_hashes(k) for k in group["keys"]]
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = []
-        for column in ("train", "deleted"):
-            each = np.concatenate([_unpacked(c) for c in group[column]])
-            sums.append(np.bincount(at, weights=each, minlength=len(distinct)).astype(np.int64))
+        each = {c: [_unpacked(x) for x in group[c]] for c in ("train", "deleted")}
+        sums = [
+            np.bincount(at, weights=np.concatenate(x), minlength=len(distinct)).astype(np.int64)
+            for x in each.values()
+        ]
         cuts = np.concatenate(([0], np.cumsum(sizes)))
         known = sums[0] > 0
+        # What is left without the deleted fold: of bigrams, those that the block asks for.
+        rest, left = sums[0] - sums[1], []
+        for a, b, own in zip(cuts[:-1], cuts[1:], each["deleted"], strict=True):
+            here = rest[at[a:b]]
+            left.append(_packed(here if key[1] == 1 else here[own > 0]))
         out = pd.DataFrame(
             {
                 "block": group["block"],
@@ -248,7 +256,7 @@ def score_texts(
                 "keys": group["keys"].where(group["gram"] == 1, None),
                 "every": group["every"],
                 "train": [_packed(sums[0][at[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
-                "deleted": [_packed(sums[1][at[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
+                "left": left,
                 "tokens": 0, "types": 0, "out": 0,
             }
         )
@@ -263,7 +271,7 @@ def score_texts(
         .applyInPandas(
             total,
             "block string, shard int, gram int, keys binary, every binary, train binary, "
-            "deleted binary, tokens bigint, types bigint, out bigint",
+            "left binary, tokens bigint, types bigint, out bigint",
         ),
         "counts",
     )
@@ -297,13 +305,13 @@ def score_texts(
             return pd.DataFrame({"cell": [], "n": []})
         ids, before, _ = numbers(docs_of, found)
         at = np.concatenate([_numbers(g, 4) for g in docs_of["grams"]]).astype(np.int64)
-        left = [joined(found, g, "train") - joined(found, g, "deleted") for g in (1, 2)]
+        left = [joined(found, g, "left") for g in (1, 2)]
         bucket, p2, p1 = probabilities(ids, before, at, *left, n_train - n_deleted)
         cells, n = np.unique((bucket * _BINS + _bins(p2)) * _BINS + _bins(p1), return_counts=True)
         return pd.DataFrame({"cell": cells, "n": n})
 
     deleted_texts = read_once.filter("role = 1").select("block", "ids", "grams", "size")
-    deleted_counts = answers.select("block", "shard", "gram", "every", "train", "deleted")
+    deleted_counts = answers.select("block", "shard", "gram", "every", "left")
     cells = (
         deleted_texts.groupBy("block")
         .cogroup(deleted_counts.groupBy("block"))
