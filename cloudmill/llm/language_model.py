@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cloudmill.llm.common import Words, chunks, fold, mixed, saved, table
 
-_CHUNK = 2_000_000  # characters read at a time
+_CHUNK = 400_000  # characters read at a time
 _STEP = 8  # bins in each power of two of a quantised probability
 _BINS = 40 * _STEP  # below 2**-40 all probabilities count as the last bin
 _BUCKETS = 48  # powers of two of a context's count, and one for unseen contexts
@@ -35,7 +35,7 @@ def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def _packed(counts: np.ndarray) -> bytes:
     kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if counts.max(initial=0) < 1 << 8 * int(k[2]))
-    return kind[2].encode() + zlib.compress(counts.astype(kind).tobytes(), 1)
+    return kind[2].encode() + zlib.compress(counts.astype(kind).tobytes(), 6)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
@@ -45,7 +45,7 @@ def _unpacked(data: bytes) -> np.ndarray:
 def _planes(values: np.ndarray, width: int) -> bytes:
     """Numbers below 256**width, byte by byte: high bytes are small and pack well."""
     planes = values.astype(">u8").view(np.uint8).reshape(-1, 8).T[8 - width :]
-    return zlib.compress(np.ascontiguousarray(planes).tobytes(), 1)
+    return zlib.compress(np.ascontiguousarray(planes).tobytes(), 6)
 
 
 def _numbers(data: bytes, width: int) -> np.ndarray:
@@ -236,18 +236,20 @@ def score_texts(
         sizes = group["size"].to_numpy()
         keys = [_hashes(k) for k in group["keys"]]
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        each = {c: [_unpacked(x) for x in group[c]] for c in ("train", "deleted")}
-        sums = [
-            np.bincount(at, weights=np.concatenate(x), minlength=len(distinct)).astype(np.int64)
-            for x in each.values()
-        ]
+        del keys
+        sums = []
+        for column in ("train", "deleted"):
+            each = np.concatenate([_unpacked(c) for c in group[column]])
+            sums.append(np.bincount(at, weights=each, minlength=len(distinct)).astype(np.int64))
+        asked = each > 0
+        del each
         cuts = np.concatenate(([0], np.cumsum(sizes)))
         known = sums[0] > 0
         # What is left without the deleted fold: of bigrams, those that the block asks for.
         rest, left = sums[0] - sums[1], []
-        for a, b, own in zip(cuts[:-1], cuts[1:], each["deleted"], strict=True):
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             here = rest[at[a:b]]
-            left.append(_packed(here if key[1] == 1 else here[own > 0]))
+            left.append(_packed(here if key[1] == 1 else here[asked[a:b]]))
         out = pd.DataFrame(
             {
                 "block": group["block"],
