@@ -22,7 +22,8 @@ from cloudmill.plans.queries import QUERIES
 
 HEADLINE = (
     "knn", "knn_color", "ball", "ball_color",
-    "uniform_exact", "uniform_stored", "random", "voxel", "fps", "fps_coreset",
+    "uniform_exact", "uniform_exact_large", "uniform_stored", "random", "random_large",
+    "voxel", "fps", "fps_points", "fps_coreset",
     "normalize", "rotate", "jitter", "zorder_key",
     "csv_roundtrip", "scan_xyz", "asof_read", "incremental_read", "delete_where",
     "partitions", "run_asof_voxel",
