@@ -108,13 +108,14 @@ def labelled_sample(
     labels: DataFrame,
     target: str,
     per_class: int,
-    max_chars: int,
+    all_chars: int,
     text: str = "text",
 ) -> DataFrame:
-    """Up to ``per_class`` labelled texts of each class to fit on: columns text, y.
+    """Up to ``per_class`` labelled whole texts of each class to fit on: columns text, y.
 
-    Only ids whose crc32 is not 1 modulo 3, present in both tables, with a text of at most
-    ``max_chars`` characters; those with the least hashed ids, so the choice is repeatable.
+    Only ids whose crc32 is not 1 modulo 3, present in both tables; those with the least hashed
+    ids, so the choice is repeatable. The driver holds ``all_chars`` characters of each class:
+    of the chosen rows, one that would go beyond is passed over.
     """
     spark = docs.sparkSession
     marks = (
@@ -124,17 +125,15 @@ def labelled_sample(
         .agg(F.max("y").alias("y"))
     )
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col(text).alias("text"))
-    short = texts.filter(F.length("text") <= max_chars)
-    known = short.select("id").join(marks, "id").withColumn("h", F.xxhash64("id"))
-    chosen = [
-        r
-        for y in (0, 1)
-        for r in known.filter(F.col("y") == y)
-        .distinct()
-        .orderBy("h", "id")
-        .limit(per_class)
-        .select("id", "y")
-        .collect()
-    ]
+    present = texts.filter(F.col("text").isNotNull())
+    known = present.join(marks, "id").groupBy("id", "y").agg(F.max(F.length("text")).alias("n"))
+    chosen = []
+    for y in (0, 1):
+        ranked = known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class)
+        left = all_chars
+        for r in ranked.collect():
+            if r["n"] <= left:
+                left -= r["n"]
+                chosen.append((r["id"], y))
     chosen_ids = F.broadcast(spark.createDataFrame(chosen, "id bigint, y int"))  # 2 * per_class rows
-    return short.join(chosen_ids, "id").dropDuplicates(["id"]).select("id", "text", "y")
+    return present.join(chosen_ids, "id").dropDuplicates(["id"]).select("id", "text", "y")

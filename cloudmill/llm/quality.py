@@ -213,7 +213,7 @@ def fit_chain(
 
 
 def train_quality(
-    docs: DataFrame, labels: DataFrame, per_class: int = 800, max_chars: int = 20_000
+    docs: DataFrame, labels: DataFrame, per_class: int = 800, all_chars: int = 8_000_000
 ) -> LineChain:
     """Fit on at most ``per_class`` labelled documents of each class (see labelled_sample).
 
@@ -234,7 +234,7 @@ def train_quality(
                 }
             )
 
-    sample = labelled_sample(docs, labels, "quality", per_class, max_chars)
+    sample = labelled_sample(docs, labels, "quality", per_class, all_chars)
     schema = "id bigint, y int, x array<double>, lengths array<double>"
     got = sample.mapInPandas(features, schema).toPandas().sort_values("id")
     if not len(got):

@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from cloudmill.llm.common import Words, chunks, fold, labelled_sample, table
 
 WINDOW, STRIDE = 32, 24  # words in a window; words between two windows' starts
-_WORD_ROWS, _CHAR_ROWS = 1 << 14, 1 << 13
-_EW, _EC, _H, _A = 8, 8, 8, 8  # sizes: word and character inputs, states, attention
-_X = _EW + _EC
+_WORD_ROWS, _CHAR_ROWS, _STEM_ROWS = 1 << 14, 1 << 13, 1 << 15
+_STEMS = (4, 5, 6, 7, 8)  # bytes at a word's beginning that are inputs of their own
+_EW, _EC, _ES = 8, 8, 8  # sizes of inputs: word, runs of three bytes, beginnings
+_H, _A = 16, 16  # sizes of states and attention
+_X = _EW + _EC + _ES
+_ROWS = {"word": (_WORD_ROWS, _EW), "char": (_CHAR_ROWS, _EC), "stem": (_STEM_ROWS, _ES)}
 _ALNUM = np.zeros(256, dtype=bool)
 _ALNUM[list(range(0x61, 0x7B)) + list(range(0x30, 0x3A)) + list(range(0x80, 0x100))] = True
 
@@ -26,8 +29,8 @@ class Windows:
 
     ``index`` has a row for each window; its entries point at distinct words, of which the
     last stands for "no word". ``owner`` is each window's text. A text without words has one
-    empty window. A word's inputs: its own hashed row, and hashed rows of its three-byte runs
-    (with its ends marked), both without marks around it.
+    empty window. A word's inputs: its own hashed row, hashed rows of its three-byte runs (with
+    its ends marked), and of its beginnings, all without marks around it.
     """
 
     def __init__(self, texts: list[str | None]) -> None:
@@ -45,6 +48,8 @@ class Windows:
         self.count = len(distinct)
         self.word_rows = (distinct & np.uint64(_WORD_ROWS - 1)).astype(np.int64)
         starts, ends = starts[at], ends[at]
+        stems = [words.hashes(starts, np.minimum(starts + k, ends)) for k in _STEMS]
+        self.stem_rows = (np.stack(stems, axis=1) & np.uint64(_STEM_ROWS - 1)).astype(np.int64)
         self.sizes = ends - starts  # a word of n bytes has n runs of three with its ends
         heads = np.concatenate(([0], np.cumsum(self.sizes)))
         self.heads = heads[:-1]
@@ -77,8 +82,7 @@ def _start(seed: int) -> Params:
         return (rng.standard_normal(shape) * size / np.sqrt(shape[0])).astype(np.float32)
 
     p = {
-        "word": (rng.standard_normal((_WORD_ROWS, _EW)) * 0.1).astype(np.float32),
-        "char": (rng.standard_normal((_CHAR_ROWS, _EC)) * 0.1).astype(np.float32),
+        **{k: (rng.standard_normal(shape) * 0.1).astype(np.float32) for k, shape in _ROWS.items()},
         "Wa": draw(2 * _H, _A),
         "ba": np.zeros(_A, np.float32),
         "va": draw(_A),
@@ -105,7 +109,8 @@ def _inputs(p: Params, w: Windows, rows: np.ndarray) -> tuple[np.ndarray, np.nda
     x = np.empty((len(rows), _X), np.float32)
     x[:, :_EW] = p["word"][w.word_rows[rows]]
     if len(rows):
-        x[:, _EW:] = np.add.reduceat(p["char"][runs], heads, axis=0) / sizes[:, None]
+        x[:, _EW : _EW + _EC] = np.add.reduceat(p["char"][runs], heads, axis=0) / sizes[:, None]
+        x[:, _EW + _EC :] = p["stem"][w.stem_rows[rows]].mean(axis=1)
     return x, runs, own
 
 
@@ -164,17 +169,29 @@ def window_logits(p: Params, w: Windows, block: int = 2048) -> np.ndarray:
     return out
 
 
-def _gradients(p: Params, w: Windows, index: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Params:
-    """Gradients of the weighted logistic loss of some windows, by hand."""
+def _gradients(
+    p: Params,
+    w: Windows,
+    index: np.ndarray,
+    y: np.ndarray,
+    weight: np.ndarray,
+    keep: Callable[[int], np.ndarray] | None = None,
+) -> Params:
+    """Gradients of the weighted logistic loss of some windows, by hand.
+
+    ``keep`` gives, for n words, the factors (0 or more) that their inputs are taken by.
+    """
     rows, local = np.unique(index, return_inverse=True)
     local = local.reshape(index.shape)
     rows = rows[rows < w.count]
     x, runs, own = _inputs(p, w, rows)
+    factors = keep(len(rows)) if keep else np.ones((1, 1), np.float32)
+    x *= factors
     kept: dict[str, list] = {"f": [], "b": []}
     parts = [_run(p, _projected(p, x, s), local, s, kept[s]) for s in "fb"]
     states = np.concatenate(parts, axis=2)
     logit, a, attention, pooled = _attend(p, states, (local == len(rows)).T)
-    g = {k: np.zeros_like(v) for k, v in p.items() if k not in ("word", "char")}
+    g = {k: np.zeros_like(v) for k, v in p.items() if k not in _ROWS}
     d_logit = (_sigmoid(logit) - y) * weight / len(y)
     g["bo"][0] = d_logit.sum()
     g["wo"] = pooled.T @ d_logit
@@ -208,9 +225,13 @@ def _gradients(p: Params, w: Windows, index: np.ndarray, y: np.ndarray, weight:
         g[f"W{side}"] = x.T @ d_gates
         g[f"c{side}"] = d_gates.sum(axis=0)
         d_x += d_gates @ p[f"W{side}"].T
+    d_x *= factors
     # Embedding rows: (rows, gradients), summed where rows repeat.
     g["word"] = _summed(w.word_rows[rows], d_x[:, :_EW])
-    g["char"] = _summed(runs, (d_x[:, _EW:] / np.maximum(w.sizes[rows], 1)[:, None])[own])
+    d_char, d_stem = d_x[:, _EW : _EW + _EC], d_x[:, _EW + _EC :]
+    g["char"] = _summed(runs, (d_char / np.maximum(w.sizes[rows], 1)[:, None])[own])
+    each = np.repeat(d_stem / len(_STEMS), len(_STEMS), axis=0)
+    g["stem"] = _summed(w.stem_rows[rows].ravel(), each)
     return g
 
 
@@ -222,22 +243,34 @@ def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def fit_toxicity(
-    texts: list[str], y: np.ndarray, epochs: int = 10, batch: int = 32, seed: int = 7
+    texts: list[str],
+    y: np.ndarray,
+    epochs: int = 10,
+    batch: int = 32,
+    seed: int = 7,
+    dropped: float = 0.3,
 ) -> Params | None:
     """Train on whole texts: a text is as toxic as its most toxic window.
 
     Each step scores all windows of ``batch`` texts and learns from the highest of each toxic
-    text and the three highest of each other.
-    Classes weigh the same. None without both classes.
+    text and the three highest of each other. A share of ``dropped`` of the words' inputs (of
+    each of the three kinds) is left out, so that no kind is relied on alone. Classes weigh the
+    same. None without both classes.
     """
     if len(set(y.tolist())) < 2:
         return None
     rng = np.random.Generator(np.random.PCG64(seed))
     p = _start(seed)
-    slow = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items() if k not in ("word", "char")}
-    rows = {k: np.full(len(p[k]), 1e-8, np.float32) for k in ("word", "char")}
+    slow = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items() if k not in _ROWS}
+    rows = {k: np.full(len(p[k]), 1e-8, np.float32) for k in _ROWS}
     balance = np.where(y == 1, 0.5 / max((y == 1).mean(), 1e-9), 0.5 / max((y == 0).mean(), 1e-9))
     step = 0
+    kinds = np.repeat(np.arange(3), [_EW, _EC, _ES])
+
+    def keep(n: int) -> np.ndarray:
+        drawn = rng.random((n, 3)) >= dropped
+        return (drawn / np.float32(1 - dropped)).astype(np.float32)[:, kinds]
+
     shuffled = rng.permutation(len(texts))
     parts = [shuffled[i : i + batch] for i in range(0, len(shuffled), batch)]
     ready = [(part, Windows([texts[j] for j in part])) for part in parts]
@@ -252,7 +285,7 @@ def fit_toxicity(
             label = y[part][w.owner]
             top = np.flatnonzero(rank < np.where(label == 1, 1, 3))
             each = balance[part][w.owner[top]]
-            g = _gradients(p, w, w.index[top], label[top].astype(np.float32), each)
+            g = _gradients(p, w, w.index[top], label[top].astype(np.float32), each, keep)
             step += 1
             for k, (m, v) in slow.items():
                 m += 0.1 * (g[k] - m)
@@ -274,7 +307,7 @@ def toxicity_score(p: Params | None, prior: float = 0.0) -> Callable:
             texts = batch.tolist()
             out = np.full(len(texts), prior)
             if p is not None:
-                for part in chunks(texts, 1_000_000):
+                for part in chunks(texts, 500_000):
                     w = Windows(texts[part])
                     high = np.maximum.reduceat(window_logits(p, w), w.offsets[:-1])
                     out[part] = _sigmoid(high.astype(np.float64))
@@ -284,10 +317,10 @@ def toxicity_score(p: Params | None, prior: float = 0.0) -> Callable:
 
 
 def train_toxicity(
-    docs: DataFrame, labels: DataFrame, per_class: int = 1000, max_chars: int = 3_000, **fit
+    docs: DataFrame, labels: DataFrame, per_class: int = 1000, all_chars: int = 6_000_000, **fit
 ) -> Params | None:
     """Fit on at most ``per_class`` labelled documents of each class (see labelled_sample)."""
-    got = labelled_sample(docs, labels, "toxic", per_class, max_chars).toPandas().sort_values("id")
+    got = labelled_sample(docs, labels, "toxic", per_class, all_chars).toPandas().sort_values("id")
     return fit_toxicity(got["text"].tolist(), got["y"].to_numpy(), **fit)
 
 
