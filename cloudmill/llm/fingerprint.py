@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloudmill.llm.common import table
 
 WIDE = 16  # lanes of 32 bits: sums of hash halves modulo 2**32, for equality
-THIN = 60  # lanes of single hash bits, for likeness: three of 20 bits in one sum modulo 2**60
-_PACKED = THIN // 3
+THIN = 60  # lanes of single hash bits, for likeness: two of 31 bits in one sum modulo 2**62
+_PACKED = THIN // 2
 # A paragraph is a line, cut behind sentence ends so that long lines are no single item.
 PARAGRAPH = r"\n|(?<=[.!?])\x20+"
 
@@ -26,10 +28,7 @@ def lanes(paragraph: Column) -> list[Column]:
         only = bits.bitwiseAND(F.lit(1 << bit))
         return F.shiftleft(only, to - bit) if to >= bit else F.shiftrightunsigned(only, bit - to)
 
-    thin = [
-        moved(3 * k, 0).bitwiseOR(moved(3 * k + 1, 20)).bitwiseOR(moved(3 * k + 2, 40))
-        for k in range(_PACKED)
-    ]
+    thin = [moved(2 * k, 0).bitwiseOR(moved(2 * k + 1, 31)) for k in range(_PACKED)]
     return [*halves, *thin, F.lit(1).cast("bigint")]
 
 
@@ -38,14 +37,15 @@ def _names() -> list[str]:
 
 
 def _modulus(name: str) -> int:
-    return {"w": 1 << 32, "t": 1 << 60, "i": 1 << 60}[name[0]]
+    return {"w": 1 << 32, "t": 1 << 62, "i": 1 << 62}[name[0]]
 
 
 def sum_lanes(paragraphs: DataFrame, keys: list[str], paragraph: str = "paragraph") -> DataFrame:
     """Fingerprint vectors: a row for each key, columns ``vector`` (array of sums).
 
     Sums are commutative, so the order of paragraphs does not matter, and ``combine`` adds or
-    removes paragraphs later without the rest of the text.
+    removes paragraphs later without the rest of the text. Sums and counters hold for fewer
+    than 2**31 paragraphs a key, more than a string can have; a key of more raises an error.
     """
     with_lanes = paragraphs.select(
         *keys, *(v.alias(n) for v, n in zip(lanes(F.col(paragraph)), _names(), strict=True))
@@ -73,7 +73,7 @@ def as_text(vector: Column) -> Column:
         part = F.slice(vector, first, count)
         return F.array_join(F.transform(part, lambda x: F.lpad(F.hex(x), width, "0")), "")
 
-    ends = (joined(1, WIDE, 8), joined(WIDE + 1, _PACKED, 15), F.hex(F.element_at(vector, -1)))
+    ends = (joined(1, WIDE, 8), joined(WIDE + 1, _PACKED, 16), F.hex(F.element_at(vector, -1)))
     return F.lower(F.concat_ws("-", *ends))
 
 
@@ -84,7 +84,7 @@ def _signed(vector: Column) -> Column:
         F.transform(
             packed,
             lambda x: F.array(
-                *(F.shiftrightunsigned(x, k).bitwiseAND(F.lit(0xFFFFF)) for k in (0, 20, 40))
+                *(F.shiftrightunsigned(x, k).bitwiseAND(F.lit(0x7FFFFFFF)) for k in (0, 31))
             ),
         )
     )
@@ -108,31 +108,62 @@ def likeness(left: Column, right: Column) -> Column:
     return F.when(left == right, F.lit(1.0)).otherwise(near)
 
 
+def _cells(docs: DataFrame, per_group: int, cells: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with a ``_cell`` each, runs of ``_key`` of about ``per_group`` rows; cells' counts.
+
+    Every level counts the rows of each cell and splits those that are too full evenly between
+    their own least and greatest key, into two parts for each group's worth of rows. Ids that lie
+    apart from all others cost a level, not a full cell. A cell of one key stays whole. No level
+    makes more than 2 * ``cells`` parts, which bounds the counts that the driver sees of it.
+    """
+    spark = docs.sparkSession
+    docs = docs.withColumn("_cell", F.lit(0))
+    number = 1
+    while True:
+        held = docs.groupBy("_cell").agg(
+            F.count(F.lit(1)).alias("n"), F.min("_key").alias("first"), F.max("_key").alias("last")
+        )
+        rows = held.collect()
+        full = [r for r in rows if r["n"] > 2 * per_group and r["first"] < r["last"]]
+        share = max(per_group, -(-sum(r["n"] for r in full) // cells))
+        full = [r for r in full if r["n"] > 2 * share]
+        if not full:
+            return docs, held
+        split = []
+        for r in full:
+            wanted = 2 * r["n"] // share  # some parts will be fuller than others
+            width = -(-(r["last"] - r["first"] + 1) // wanted)
+            split.append((r["_cell"], number, Decimal(r["first"]), Decimal(width)))
+            number += -(-(r["last"] - r["first"] + 1) // width)
+        parts = F.broadcast(  # no more than a row for each two parts
+            spark.createDataFrame(
+                split, "_cell int, _base int, _low decimal(38,0), _width decimal(38,0)"
+            )
+        )
+        part = F.expr("(cast(_key as decimal(38,0)) - _low) div _width")
+        docs = (
+            docs.join(parts, "_cell", "left")
+            .withColumn("_cell", F.coalesce(F.col("_base") + part.cast("int"), "_cell"))
+            .drop("_base", "_low", "_width")
+        )
+
+
 def with_next(
-    docs: DataFrame, id_column: str, cells: int = 1 << 16, per_group: int = 4000
+    docs: DataFrame, id_column: str, cells: int = 1 << 17, per_group: int = 4000
 ) -> tuple[DataFrame, list[str]]:
     """Deal rows out so that each group holds a run of ids and, last, the row that follows it.
 
-    Ids are counted in ``cells`` equal cells between the least and the greatest; whole cells
-    make groups of about ``per_group`` rows. The driver sees the cells that hold rows, no more
-    than ``cells``, and no text. The row after a group (after the last one: the first row of
-    all) is added to it with ``_extra`` true. Returns the rows and the order within ``_group``.
+    Neighbouring cells (see ``_cells``) make groups of about ``per_group`` rows, or of about a
+    ``cells``-th of the table where that is more. The driver sees the cells that hold rows and
+    no text. The row after a group (after the last one: the first row of all) is added to it
+    with ``_extra`` true. Returns the rows and the order within ``_group``.
     """
     key = F.coalesce(F.col(id_column).cast("bigint"), F.lit(-(1 << 63)))
-    docs = docs.withColumn("_key", key)
-    low, high = docs.filter(F.col(id_column).isNotNull()).agg(F.min("_key"), F.max("_key")).first()
-    low, high = low or 0, high or 0
-    width = (high - low) // (cells - 1) + 1
-    offset = F.col("_key").cast("decimal(38,0)") - F.lit(low).cast("decimal(38,0)")
-    cell = F.when(
-        F.col(id_column).isNotNull(), F.floor(offset / F.lit(width).cast("decimal(38,0)"))
-    ).otherwise(F.lit(-1))
-    docs = docs.withColumn("_cell", cell.cast("int"))
-    held = docs.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.min("_key").alias("first"))
+    docs, held = _cells(docs.withColumn("_key", key), per_group, cells)
     groups: list[tuple[int, int]] = []  # group of each cell that holds rows
     firsts: list[tuple[int, int]] = []  # first id of each group
     size = per_group
-    for row in held.orderBy("_cell").collect():
+    for row in held.orderBy("first").collect():
         if size >= per_group:
             firsts.append((len(firsts), row["first"]))
             size = 0
@@ -166,7 +197,7 @@ def fingerprint_edits(
 
     The edited text has its last floor(n/4) code points replaced by the first as many of the
     next document by id. A fingerprint sums the vectors of all paragraphs modulo powers of two;
-    see ``lanes``, ``combine`` and ``likeness``. Texts cross the network once; the sums are
+    see ``lanes``, ``combine`` and ``likeness``. Any number of paragraphs counts exactly. Texts cross the network once; the sums are
     taken where the rows lie.
 
     Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
