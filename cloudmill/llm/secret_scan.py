@@ -82,6 +82,7 @@ def scan_secrets(
     repository: str = "doc_id",
     owner: str = "source",
     copied_owners: int = 3,
+    copied_repositories: int = 20,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Secrets of every text, each with how widely the corpus shares its value.
@@ -90,8 +91,11 @@ def scan_secrets(
     candidate's value is hashed; over the whole corpus, its distinct repositories and owners
     are counted (per value, repository and owner first, then per value and owner, then per
     value, so that a value found everywhere is pre-aggregated in each task). A value with at
-    least ``copied_owners`` owners is a widely copied example; any other looks live. Mixed runs
-    that look live and touch no base span become spans of the kind ``owned``.
+    least ``copied_owners`` owners is a widely copied example; any other looks live. A mixed run,
+    which nothing but its rarity speaks for, is one with ``copied_repositories`` repositories
+    too, whoever owns them. Mixed runs that look live and touch no base span become spans of
+    the kind ``owned``. Places of a value that has over a thousandth of them all (at most 1,000
+    values) are judged where they lie, by broadcast; the others by a join on the value.
 
     Returns a row for each input row: the columns named in ``keep``, base (base spans), spans
     (base and owned), live (spans whose value looks live), copied (those widely copied). A span
@@ -128,17 +132,29 @@ def scan_secrets(
         "_row", "_repository", "_owner", F.explode(every).alias("span")
     )
     found = found.withColumn("_value", F.sha2(F.col("span.value"), 256))
-    owners = (
-        found.select("_value", "_owner", "_repository")
-        .distinct()
+    owners = saved(
+        found.groupBy("_value", "_owner", "_repository")
+        .agg(F.count(F.lit(1)).alias("places"))
         .groupBy("_value", "_owner")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("places").alias("places"))
         .groupBy("_value")
-        .agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
+        .agg(
+            F.count(F.lit(1)).alias("owners"),
+            F.sum("n").alias("repositories"),
+            F.sum("places").alias("places"),
+        ),
+        "secret-owners",
+    )
+    total = owners.agg(F.sum("places")).first()[0] or 0
+    hot = F.broadcast(owners.filter(F.col("places") * 1000 > total))  # fewer than 1,000 rows
+    rest = found.join(hot.select("_value"), "_value", "left_anti").join(owners, "_value")
+    rare = (F.col("span.kind") != KINDS.index("owned")) | (
+        F.col("repositories") < copied_repositories
     )
     judged = (
-        found.join(owners, "_value")
-        .withColumn("_live", F.col("owners") < copied_owners)
+        found.join(hot, "_value")
+        .unionByName(rest)
+        .withColumn("_live", (F.col("owners") < copied_owners) & rare)
         .groupBy("_row")
         .agg(
             F.collect_list(F.when(F.col("_live"), F.col("span"))).alias("live"),
@@ -162,14 +178,23 @@ def scan_secrets(
     )
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """``name``, with marks behind it until no column of ``docs`` is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "<SECRET>", **scan) -> DataFrame:
     """``docs`` with the values of live-looking secrets replaced by ``mark``.
 
     Widely copied examples stay. Other columns stay as they are; a null text stays null. Only
     texts with candidates are set aside and joined with what the corpus says about them; the
-    others pass straight through.
+    others pass straight through. Columns may have any names.
     """
-    row, body = "_redact_row", F.coalesce(F.col(text).cast("string"), F.lit(""))
+    row, places = (_free(name, docs) for name in ("_redact_row", "_places"))
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     some = (F.size(base_spans(body)) > 0) | body.rlike(_MIXED)
     kept = saved(
         docs.filter(some).withColumn(row, F.monotonically_increasing_id()), "secret-texts"
@@ -180,7 +205,7 @@ def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "<SECRET>",
         F.transform(
             "live",
             lambda s: F.struct((s["end"] - F.length(s["value"])).alias("at"), s["end"].alias("end")),
-        ).alias("_places"),
+        ).alias(places),
     )
 
     def join_overlaps(merged: Column, x: Column) -> Column:
@@ -195,12 +220,12 @@ def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "<SECRET>",
 
     none = F.expr("cast(array() as array<struct<at:int,end:int>>)")
     redacted = F.aggregate(  # from the last place to the first, so that places stay valid
-        F.reverse(F.aggregate(F.array_sort("_places"), none, join_overlaps)),
+        F.reverse(F.aggregate(F.array_sort(places), none, join_overlaps)),
         F.col(text),
         lambda b, x: F.overlay(b, F.lit(mark), x["at"] + 1, x["end"] - x["at"]),
     )
     fixed = kept.join(place, row, "left").withColumn(
-        text, F.when(F.col("_places").isNull(), F.col(text)).otherwise(redacted)
+        text, F.when(F.col(places).isNull(), F.col(text)).otherwise(redacted)
     )
     return docs.filter(~some).unionByName(fixed.select(*docs.columns))
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -47,6 +48,44 @@ def test_ownership_decides(spark, no_docs):
     assert scan_secrets(no_docs).count() == 0 and redact_secrets(no_docs).count() == 0
 
 
+MIXED = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}")
+
+
+def test_all_spans_equal_plain_counts_with_common_and_rare_values(spark):
+    rng = random.Random(8)
+    runs = ["".join(rng.choice("abXY019") for _ in range(22)) + "a1" for _ in range(1500)]
+    rows = [(i, f"é {r} and {runs[0]}", "big") for i, r in enumerate(runs)]  # one value in every text
+    rows += [(2000 + i, f"token={runs[i]} {runs[i + 40]}", f"o{i % 4}") for i in range(40)]
+    rows += [(3000 + i, f"{runs[100 + i % 10]}.", "big") for i in range(300)]  # 31 repositories each
+    found = {}
+    for i, text, owner in rows:
+        spans = [(a, k, b, None) for a, k, b in expected(text)]
+        mixed = [(m.start(), 3, m.end()) for m in MIXED.finditer(text)]
+        mixed = [m for m in mixed if not any(a < m[2] and m[0] < b for a, _, b, _ in spans)]
+        found[i] = [(a, k, b) for a, k, b, _ in spans], [(*m, text[m[0] : m[2]]) for m in mixed]
+    shared = {}
+    for i, text, owner in rows:
+        values = [ASSIGN.match(text, a)[2] for a, k, _ in found[i][0] if k == 0]
+        for v in values + [m[3] for m in found[i][1]]:
+            shared.setdefault(v, (set(), set()))[0].add(owner)
+            shared[v][1].add(i)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    got = {r.doc_id: r for r in scan_secrets(df, keep=("doc_id",)).collect()}
+    assert len(got) == len(rows)
+    for i, (base, mixed) in found.items():
+        own = [m[:3] for m in mixed if len(shared[m[3]][0]) < 3 and len(shared[m[3]][1]) < 20]
+        assert [(s.start, s.kind, s.end) for s in got[i].spans] == sorted(base + own)
+
+
+def test_columns_with_names_of_its_own_stay(spark):
+    df = spark.createDataFrame(
+        [(1, f"token={HEX}", "o", 5, "p"), (1, None, "o", 6, "q")],
+        "doc_id bigint, text string, source string, _redact_row int, _places string",
+    )
+    got = sorted(redact_secrets(df).collect(), key=lambda r: r._places)
+    assert [tuple(r)[1:] for r in got] == [("token=<SECRET>", "o", 5, "p"), (None, "o", 6, "q")]
+
+
 def test_overlapping_values_leave_nothing_behind(spark):
     df = spark.createDataFrame([(1, f"secret=xx/{HEX}+TAIL99 é", "o"), (2, None, "o")], "doc_id bigint, text string, source string")
     assert {r.doc_id: r.text for r in redact_secrets(df).collect()} == {1: "secret=<SECRET> é", 2: None}
