@@ -18,7 +18,8 @@ _PLACES = np.random.Generator(np.random.PCG64(5)).integers(0, 2**63, 64, np.uint
 _CHUNK = 400_000  # characters hashed at a time
 _SLICES = 64  # parts in which frequency sketches are added up
 _NODE_BITS = 24  # bits of the filters that say which sets a later pass needs
-_PIVOTS = 3  # pairs of a set that are verified first, to join large groups with few pairs
+_PIVOTS = 4  # sets of each list that the others are verified with first, and such pairs of each set
+_CENTRAL = 16  # as many in the second round, in which only sets of different groups are paired
 
 
 class Shingles:
@@ -232,25 +233,46 @@ class JaccardJoin:
         return saved(self.texts.mapInPandas(prefixes, schema), f"prefixes-{order}")
 
     def pivots(self, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Tokens of two sets or more, and pairs of each such token's sets with its least set.
+        """Tokens of two sets or more, and pairs of each such token's sets with a few of them.
 
-        A pair comes with the number of tokens that it was found by.
+        The few are drawn by hashes of the sets alone, so that lists of the same sets agree on
+        them under every order. A pair comes with the number of tokens that it was found by.
         """
+        drawn = [F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(_PIVOTS)]
         lists = (
             postings.groupBy("token")
-            .agg(F.min("node").alias("b"), F.max("node").alias("last"))
-            .filter("b <> last")
+            .agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.array_distinct(F.array(*drawn)).alias("b"))
+            .filter("lo <> hi")
             .select("token", "b")
         )
-        columns = ("token", F.col("node").alias("a"), "n", "place", "b")
-        shared = saved(postings.join(lists, "token").select(*columns), "shared")
-        pairs = shared.filter("a <> b").groupBy("a", "b").agg(F.count("token").alias("found"))
-        return shared.select("token", F.col("a").alias("node"), "n", "place"), pairs
+        shared = saved(postings.join(lists, "token").select("token", "node", "n", "place", "b"), "shared")
+        pairs = shared.select("token", F.col("node").alias("a"), F.explode("b").alias("b")).filter("a <> b")
+        return shared.drop("b"), pairs.groupBy("a", "b").agg(F.count("token").alias("found"))
+
+    def central(self, unjoined: DataFrame, first: DataFrame) -> DataFrame:
+        """Pairs, as above, of the lists' sets with sets of other groups that link with most pivots.
+
+        A set that missed the drawn pivots by little is most likely to reach one of these.
+        """
+        ends = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node")))
+        links = ends.groupBy("node").agg(F.least(F.count("node"), F.lit(_PIVOTS)).alias("links"))
+        known = unjoined.join(links, "node", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+        order = [  # by links, then by a hash of 56 bits
+            F.shiftleft("links", 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64("node", F.lit(_PIVOTS + k)), 8))
+            for k in range(_CENTRAL)
+        ]
+        most = known.groupBy("token").agg(
+            *[F.array(*[F.max_by(c, o) for o in order]).alias(c) for c in ("node", "root")]
+        )
+        few = F.array_distinct(F.arrays_zip(F.col("node").alias("b"), F.col("root").alias("root_b")))
+        pairs = unjoined.join(most.select("token", few.alias("few")), "token")
+        pairs = pairs.select("token", F.col("node").alias("a"), "root", F.inline("few")).filter("root <> root_b")
+        return pairs.groupBy("a", "b").agg(F.count("token").alias("found"))
 
-    def first_candidates(self, pairs: list[DataFrame]) -> DataFrame:
-        """Of the pairs under every order, each set's few that were found by most tokens.
+    def best(self, pairs: list[DataFrame], few: int) -> DataFrame:
+        """Of the pairs under every order, each set's ``few`` that were found by most tokens.
 
-        The others are left to the second round, unless these join them.
+        The others are left to later rounds, unless these join them.
         """
         both = reduce(
             lambda x, y: x.join(y.withColumnRenamed("found", "more"), ["a", "b"]).select(
@@ -258,10 +280,22 @@ class JaccardJoin:
             ),
             pairs,
         )
-        rank = F.row_number().over(Window.partitionBy("a").orderBy(F.col("found").desc(), "b"))
-        return both.withColumn("rank", rank).filter(F.col("rank") <= _PIVOTS).select("a", "b")
+        rank = F.row_number().over(Window.partitionBy("a").orderBy(F.col("found").desc(), F.xxhash64("b")))
+        chosen = both.withColumn("rank", rank).filter(F.col("rank") <= few)
+        return chosen.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    def pairs(self, shared: DataFrame, roots: DataFrame) -> DataFrame:
+    def unjoined(self, lists: DataFrame, roots: DataFrame) -> DataFrame:
+        """The lists that hold sets of several groups."""
+        joined = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = (
+            joined.groupBy("token")
+            .agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+            .filter("lo <> hi")
+            .select("token")
+        )
+        return saved(joined.join(several, "token").select("token", "node", "root", "n", "place"), "unjoined")
+
+    def pairs(self, unjoined: DataFrame) -> DataFrame:
         """Pairs of sets that share a token, may be similar and are not joined yet.
 
         Sizes differ by a quarter at most, so lists are split by classes of size, and a set is
@@ -269,15 +303,8 @@ class JaccardJoin:
         their first common token on: it must stand early enough in both.
         """
         percent = self.percent
-        joined = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = (
-            joined.groupBy("token")
-            .agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-            .filter("lo <> hi")
-            .select("token")
-        )
         size = F.floor(F.log(101 / percent, F.col("n"))).cast("int")  # a little wider than allowed
-        left = saved(joined.join(several, "token").withColumn("size", size), "unjoined")
+        left = unjoined.withColumn("size", size)
         sides = {
             x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n", "place")] for x in ("a", "b")
         }
@@ -347,11 +374,11 @@ def jaccard_groups(
     are one class. Candidates must share a prefix token under each of ``orders`` global token
     orders, each with its own corpus-wide frequency sketch of 2**``sketch_bits`` counters: the
     pair sets of all orders are intersected, a bound on the intersection leaves hopeless pairs
-    out, and the rest is verified exactly on full sets. First each set is paired with the few
-    least sets of its tokens' lists that it shares most tokens with, whose links join large
-    groups of copies with few pairs; then all pairs follow that share a token, have sizes and
-    places of the token that allow the similarity, and are not joined yet, so that no link
-    between groups is lost. Shingles are compared by 64-bit hash, and classes by a 64-bit hash of the set.
+    out, and the rest is verified exactly on full sets. First each set is paired with a few
+    drawn sets of its tokens' lists, then, where lists still hold several groups, with the sets
+    that have most links: these join large groups of near copies with few pairs. Then all pairs
+    follow that share a token, have sizes and places of the token that allow the similarity,
+    and are not joined yet, so that no link between groups is lost. Shingles are compared by 64-bit hash, and classes by a 64-bit hash of the set.
 
     Defined results: a null, empty or word-less text has no shingles and is alone; texts with
     fewer words are one shingle; repeated rows are one class; a null doc_id links like others,
@@ -379,11 +406,17 @@ def _grouped(
             wanted = join.needed(lists.select("node"))
         elif bounds is None:
             bounds = found.filter("bound is not null").select("node", "n", "bound").dropDuplicates(["node"])
-    first, seen = join.verified(join.first_candidates(pairs), bounds)
+    first, seen = join.verified(join.best(pairs, _PIVOTS), bounds)
+    roots = components(first)
+    apart = [join.unjoined(lists, roots) for lists in shared]
+    central = join.best([join.central(lists, first) for lists in apart], _CENTRAL)
+    more, tried = join.verified(central, bounds, seen)
+    first, seen = first.unionByName(more), seen.unionByName(tried)
     roots = components(first)
-    rest = reduce(lambda x, y: x.join(y, ["a", "b"]), (join.pairs(lists, roots) for lists in shared))
-    second, _ = join.verified(rest, bounds, seen)
-    joined = components(first.unionByName(second))
+    apart = [join.unjoined(lists.drop("root"), roots) for lists in apart]
+    rest = reduce(lambda x, y: x.join(y, ["a", "b"]), (join.pairs(lists) for lists in apart))
+    last, _ = join.verified(rest, bounds, seen)
+    joined = components(first.unionByName(last))
     grouped = saved(
         members.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")), "grouped"
     )
