@@ -108,6 +108,23 @@ def test_jaccard_links_of_a_given_table_equal_all_pairs(spark):
     assert got == least_reachable(sets, links)
 
 
+def test_a_group_of_near_copies_of_which_few_link_equals_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for _ in range(120):
+        words = list(base)
+        for at in rng.integers(0, len(base), rng.integers(0, 7)):
+            words[at] = f"x{rng.integers(10**6)}"
+        texts.append(" ".join(words))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in enumerate(map(words_of, texts))}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert 100 < len(links) < len(sets) * (len(sets) - 1) / 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_groups(docs, sketch_bits=10).collect()}
+    assert got == least_reachable(sets, links)
+
+
 def test_embeddings_equal_all_pairs(spark):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(40, 12))
