@@ -37,20 +37,18 @@ def survey_table(spark: SparkSession, sf_dir: str) -> PointTable:
 
 
 def _build(spark: SparkSession, cloud: DataFrame) -> str:
-    # Read once; each commit then reads the years that it needs.
-    years = scratch_path(spark, "survey-years")
-    cloud.hint("rebalance", "survey_year").write.partitionBy("survey_year").parquet(years)
-    cloud = spark.read.schema(cloud.schema).parquet(years)
+    # Each commit scans the source for the year that it needs: scans are cheaper than a copy,
+    # and as a commit holds one year, its points need no shuffle.
     path = scratch_path(spark, "surveys")
     table = PointTable.create(spark, path, cloud.schema, partition_by=["survey_year"])
     for year in range(1995, 2002):
-        table.append(cloud.filter(F.col("survey_year") == year), at=utc(year + 1))
+        table.append(cloud.filter(F.col("survey_year") == year), gather=False, at=utc(year + 1))
     table.overwrite_partitions(
-        cloud.filter("survey_year = 1998 AND classification <> 7"), at=utc(2003)
+        cloud.filter("survey_year = 1998 AND classification <> 7"), gather=False, at=utc(2003)
     )
     table.delete_where("z < 1", at=utc(2004))
     table.rollback_to_time(utc(2003, 6), at=utc(2004, 6))
     table.rollback_to(7, at=utc(2005))
-    table.append(cloud.filter("survey_year = 1995 AND z >= 9"), at=utc(2006))
+    table.append(cloud.filter("survey_year = 1995 AND z >= 9"), gather=False, at=utc(2006))
     table.expire_snapshots(utc(2000), at=utc(2007), delete_files=True)
     return path

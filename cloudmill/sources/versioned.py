@@ -218,18 +218,35 @@ class PointTable:
     # ---- changing
 
     def append(
-        self, df: DataFrame, *, zorder_bits: int | None = None, at: datetime | None = None
+        self,
+        df: DataFrame,
+        *,
+        zorder_bits: int | None = None,
+        gather: bool = True,
+        at: datetime | None = None,
     ) -> int:
-        """Add rows; returns the new snapshot. `zorder_bits` overrides the table's own."""
+        """Add rows; returns the new snapshot. `zorder_bits` overrides the table's own.
+
+        Rows are shuffled so that a partition gets few files. Without `gather` each task writes
+        the rows that it holds: right for rows of few partitions.
+        """
         key = self._new_key()
-        return self._commit(key, "append", self._write(df, key, zorder_bits), at)
+        return self._commit(key, "append", self._write(df, key, zorder_bits, gather), at)
 
     def overwrite_partitions(
-        self, df: DataFrame, *, zorder_bits: int | None = None, at: datetime | None = None
+        self,
+        df: DataFrame,
+        *,
+        zorder_bits: int | None = None,
+        gather: bool = True,
+        at: datetime | None = None,
     ) -> int:
-        """Replace the partitions that occur in `df`; without partitioning, all rows."""
+        """Replace the partitions that occur in `df`; without partitioning, all rows.
+
+        `zorder_bits` and `gather` are as for `append`.
+        """
         key = self._new_key()
-        added = self._write(df, key, zorder_bits)
+        added = self._write(df, key, zorder_bits, gather)
         timeline = self._timeline()
         live = self._live_files(timeline, timeline.current)
         if self.partition_by:
@@ -265,7 +282,8 @@ class PointTable:
         touched = self.spark.read.parquet(staged)
         self._log_files(key, touched, "remove")
         mixed = touched.filter(F.col("hits") < F.col("record_count"))
-        log = self._write(self._scan(mixed).filter(~hit), key)
+        # A task reads files or parts of them, so that it writes no more files than it reads.
+        log = self._write(self._scan(mixed).filter(~hit), key, gather=False)
         return self._commit(key, "delete", log, at)
 
     def rollback_to(self, snapshot_id: int, *, at: datetime | None = None) -> None:
@@ -356,18 +374,25 @@ class PointTable:
             columns.append(_relative_path().alias(_FILE))
         return points.select(*columns)
 
-    def _write(self, df: DataFrame, key: str, zorder_bits: int | None = None) -> DataFrame:
-        """Write `df` as data of commit `key` and log its files; returns the log rows."""
+    def _arranged(self, df: DataFrame, zorder_bits: int | None, gather: bool) -> DataFrame:
+        """The rows of `df` as they are to be written."""
         names = self.schema.names
         if set(df.columns) != set(names):
             raise ValueError(f"columns {df.columns} do not match the table's {names}")
         rows = df.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in self.schema])
         bits = zorder_bits or self.zorder_bits
         if bits:
-            rows = cluster_zorder(rows, bits, within=self.partition_by)
-        elif self.partition_by:
+            return cluster_zorder(rows, bits, within=self.partition_by)
+        if self.partition_by and gather:
             # Few files per partition; adaptive execution splits the partitions that are big.
-            rows = rows.hint("rebalance", *self.partition_by)
+            return rows.hint("rebalance", *self.partition_by)
+        return rows
+
+    def _write(
+        self, df: DataFrame, key: str, zorder_bits: int | None = None, gather: bool = True
+    ) -> DataFrame:
+        """Write `df` as data of commit `key` and log its files; returns the log rows."""
+        rows = self._arranged(df, zorder_bits, gather)
         writer = rows.write.mode("errorifexists")
         if self.partition_by:
             writer = writer.partitionBy(*self.partition_by)

@@ -7,6 +7,7 @@ from helpers import plan, rows
 from pyspark.sql import functions as F
 
 from cloudmill import PointTable, list_tables, run_pipeline
+from cloudmill.plans import versions
 from cloudmill.plans.versions import utc
 
 SCHEMA = "x double, y double, z double, year int, tag string"
@@ -105,6 +106,34 @@ def test_delete_touches_only_matching_files(make, batch):
         table.delete_where("no_such_column = 1")
 
 
+def test_points_that_need_no_gathering_are_not_shuffled(make, batch, monkeypatch):
+    table, plans = make(), []
+    arranged = PointTable._arranged
+
+    def recorded(self, *args):
+        out = arranged(self, *args)
+        plans.append("Rebalance" in out._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(PointTable, "_arranged", recorded)
+    points = batch(*[(i, 2000 + i % 2, "a") for i in range(8)])
+    table.append(points)
+    table.append(points.filter("year = 2000").repartition(3), gather=False)
+    table.overwrite_partitions(points.filter("year = 2001"), gather=False)
+    table.delete_where("x = 2")  # rewrites files, partition by partition
+    assert plans == [True, False, False, False]
+    assert ids(table.read()) == [0.0, 0.0, 1.0, 3.0, 4.0, 4.0, 5.0, 6.0, 6.0, 7.0]
+    assert ids(table.read(2)) == sorted(ids(points) + [0.0, 2.0, 4.0, 6.0])
+
+
+def test_survey_table_copies_its_points_once(spark, cloud, tmp_path, monkeypatch):
+    """No staged copy beside the table, whose files hold each commit's points once."""
+    monkeypatch.setattr(versions, "scratch_path", lambda spark, label: str(tmp_path / label))
+    path = versions._build(spark, cloud)
+    assert [p.name for p in tmp_path.iterdir()] == ["surveys"]
+    assert PointTable(spark, path).read(7).count() == cloud.count()
+
+
 def test_delete_keeps_rows_where_the_condition_is_null(make, batch):
     table = make()
     table.append(batch((1, 2000, None), (2, 2000, "a"), (3, 2000, "b")))
