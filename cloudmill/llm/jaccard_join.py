@@ -80,6 +80,13 @@ def _may_reach(a: bytes, b: bytes, total: int, percent: int) -> bool:
     return (100 + percent) * int(np.minimum(x, y).sum()) >= percent * total
 
 
+def _several(rows: DataFrame, column: str) -> DataFrame:
+    """The rows of tokens that occur with several values of ``column``."""
+    same = Window.partitionBy("token")
+    ends = [F.min(column).over(same).alias("lo"), F.max(column).over(same).alias("hi")]
+    return rows.select("*", *ends).filter("lo <> hi").drop("lo", "hi")
+
+
 class JaccardJoin:
     """The steps of ``jaccard_groups`` over one table of texts."""
 
@@ -238,14 +245,13 @@ class JaccardJoin:
         The few are drawn by hashes of the sets alone, so that lists of the same sets agree on
         them under every order. A pair comes with the number of tokens that it was found by.
         """
-        drawn = [F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(_PIVOTS)]
-        lists = (
-            postings.groupBy("token")
-            .agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.array_distinct(F.array(*drawn)).alias("b"))
-            .filter("lo <> hi")
-            .select("token", "b")
+        # Windows over one shuffle of the postings; most tokens are of one set and go before any draw.
+        same = Window.partitionBy("token")
+        drawn = [F.min_by("node", F.xxhash64("node", F.lit(k))).over(same) for k in range(_PIVOTS)]
+        lists = _several(postings, "node")
+        shared = saved(
+            lists.select("token", "node", "n", "place", F.array_distinct(F.array(*drawn)).alias("b")), "shared"
         )
-        shared = saved(postings.join(lists, "token").select("token", "node", "n", "place", "b"), "shared")
         pairs = shared.select("token", F.col("node").alias("a"), F.explode("b").alias("b")).filter("a <> b")
         return shared.drop("b"), pairs.groupBy("a", "b").agg(F.count("token").alias("found"))
 
@@ -287,13 +293,7 @@ class JaccardJoin:
     def unjoined(self, lists: DataFrame, roots: DataFrame) -> DataFrame:
         """The lists that hold sets of several groups."""
         joined = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = (
-            joined.groupBy("token")
-            .agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-            .filter("lo <> hi")
-            .select("token")
-        )
-        return saved(joined.join(several, "token").select("token", "node", "root", "n", "place"), "unjoined")
+        return saved(_several(joined, "root").select("token", "node", "root", "n", "place"), "unjoined")
 
     def pairs(self, unjoined: DataFrame) -> DataFrame:
         """Pairs of sets that share a token, may be similar and are not joined yet.

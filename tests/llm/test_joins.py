@@ -197,3 +197,15 @@ def test_pair_memory_does_not_change_pieces():
     model.known.clear()
     model.pair_keys, model.pair_holds = model.pair_keys[:0], model.pair_holds[:0]
     assert model.encode([text]) == first
+
+
+def test_lists_of_several_sets_take_one_shuffle_at_any_size(spark):
+    """A join with the tokens of several sets would shuffle all postings twice once it is not broadcast."""
+    from cloudmill.llm.jaccard_join import _several
+
+    rows = [(1, 10), (1, 11), (1, 11), (2, 12), (3, 13), (3, 13), (4, 14), (4, 15), (4, 16)]
+    lists = _several(spark.createDataFrame(rows, "token bigint, node bigint"), "node")
+    assert lists.columns == ["token", "node"]
+    assert sorted(map(tuple, lists.collect())) == [r for r in rows if r[0] in (1, 4)]
+    plan = lists._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and plan.count("Window [") == 1
