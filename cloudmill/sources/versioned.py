@@ -16,6 +16,8 @@ leaves nothing that a reader would see. One writer at a time.
 """
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime, timedelta, timezone
 from functools import reduce
 
@@ -31,6 +33,8 @@ Moment = datetime | int | str
 
 _ADDED_BY = "added_by"
 _FILE = "__pt_file"
+# Partitions that a task has files open for at once; rows of further ones are sorted by partition.
+_OPEN_FILES = 8
 
 _EVENT = T.StructType(
     [
@@ -397,7 +401,8 @@ class PointTable:
         if self.partition_by:
             writer = writer.partitionBy(*self.partition_by)
         folder = f"{self.path}/data/{_ADDED_BY}={key}"
-        writer.parquet(folder)
+        with _open_files(self.spark, 0 if gather or zorder_bits or self.zorder_bits else _OPEN_FILES):
+            writer.parquet(folder)
         written = self.spark.read.schema(self.schema).option("basePath", folder).parquet(folder)
         # Counting reads no column but the partition's: row counts come from file footers.
         added = (
@@ -546,6 +551,24 @@ class _Timeline:
             raise ValueError(f"snapshot {snapshot_id} does not exist or has expired")
 
 
+@contextmanager
+def _open_files(spark: SparkSession, most: int) -> Iterator[None]:
+    """Writes inside keep up to `most` partitions' files open in a task (0: one at a time).
+
+    Spark sorts the rows of a task by partition for one file at a time, and spills them where
+    they are many. What the session has set for itself stays.
+    """
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    if not most or spark.conf.get(name, None) is not None:
+        yield
+        return
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
+
+
 def _literal(value) -> Column:
     if isinstance(value, dict):
         return F.create_map(*[F.lit(v) for pair in value.items() for v in pair])

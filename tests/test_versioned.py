@@ -134,6 +134,30 @@ def test_survey_table_copies_its_points_once(spark, cloud, tmp_path, monkeypatch
     assert PointTable(spark, path).read(7).count() == cloud.count()
 
 
+def test_points_that_need_no_gathering_are_not_sorted(spark, make, batch, monkeypatch):
+    """Sorts by partition spill; a task has several partitions' files open instead."""
+    name, open_files = "spark.sql.maxConcurrentOutputFileWriters", []
+    writer = type(spark.range(1).write)
+    parquet = writer.parquet
+
+    def watched(self, path, *args, **kwargs):
+        if "/data/" in path:
+            open_files.append(spark.conf.get(name, None))
+        return parquet(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(writer, "parquet", watched)
+    table = make()
+    years = [None, *range(2000, 2020)]  # more than a task has files open for
+    points = [(i, years[i % len(years)], "a") for i in range(100)]
+    table.append(batch(*points).coalesce(1), gather=False)
+    table.delete_where("x >= 60")
+    table.append(batch((100, 2000, "a")))
+    table.append(batch((101, 2000, "a")), zorder_bits=4, gather=False)
+    assert open_files == ["8", "8", None, None] and spark.conf.get(name, None) is None
+    want = [(float(i), y) for i, y, _ in points[:60]] + [(100.0, 2000), (101.0, 2000)]
+    assert sorted((r.x, r.year) for r in table.read().collect()) == want
+
+
 def test_delete_keeps_rows_where_the_condition_is_null(make, batch):
     table = make()
     table.append(batch((1, 2000, None), (2, 2000, "a"), (3, 2000, "b")))
