@@ -42,20 +42,20 @@ def add_morton(df: DataFrame, bits: int = 20, name: str = MORTON) -> DataFrame:
 
 
 def cluster_zorder(
-    df: DataFrame, bits: int = 20, partitions: int | None = None, *, within=()
+    df: DataFrame, bits: int = 20, partitions: int | None = None, *, within=(), in_files: bool = False
 ) -> DataFrame:
     """Range-partition by z-order key (below the columns `within`) and sort each part.
 
     Copies of one location may exceed a partition, so a tie-breaker lets the range
     bounds fall between them. It numbers rows after a local sort, hence by content:
-    a retried task assigns the same values.
+    a retried task assigns the same values. With `in_files`, `df` is a plain scan of files,
+    which gives its rows in the same order each time: they are numbered without the sort.
     """
     keys = [*within, MORTON]
-    keyed = (
-        add_morton(df, bits)
-        .sortWithinPartitions(*keys, *ordering_columns(df))
-        .withColumn(_TIE, F.monotonically_increasing_id())
-    )
+    keyed = add_morton(df, bits)
+    if not in_files:
+        keyed = keyed.sortWithinPartitions(*keys, *ordering_columns(df))
+    keyed = keyed.withColumn(_TIE, F.monotonically_increasing_id())
     bounds = [*keys, _TIE]
     spread = (
         keyed.repartitionByRange(partitions, *bounds)

@@ -33,6 +33,7 @@ Moment = datetime | int | str
 
 _ADDED_BY = "added_by"
 _FILE = "__pt_file"
+_PATH = "_metadata.file_path"
 # Partitions that a task has files open for at once; rows of further ones are sorted by partition.
 _OPEN_FILES = 8
 
@@ -277,8 +278,9 @@ class PointTable:
         hits = (
             self._scan(live, with_file=True)
             .filter(hit)
-            .groupBy(F.col(_FILE).alias("file"))
+            .groupBy(_FILE)
             .agg(F.count("*").alias("hits"))
+            .select(_relative(F.col(_FILE)).alias("file"), "hits")
         )
         # Written once: the rewrite and the log must agree on the files.
         staged = scratch_path(self.spark, "delete")
@@ -375,7 +377,7 @@ class PointTable:
         points = self.spark.read.schema(self.schema).option("basePath", root).parquet(*sorted(paths))
         columns = [F.col(f"`{c}`") for c in self.schema.names]
         if with_file:
-            columns.append(_relative_path().alias(_FILE))
+            columns.append(F.col(_PATH).alias(_FILE))
         return points.select(*columns)
 
     def _arranged(self, df: DataFrame, zorder_bits: int | None, gather: bool) -> DataFrame:
@@ -386,7 +388,11 @@ class PointTable:
         rows = df.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in self.schema])
         bits = zorder_bits or self.zorder_bits
         if bits:
-            return cluster_zorder(rows, bits, within=self.partition_by)
+            # Read three times (extent, bounds, rows): whatever `df` takes is done once.
+            staged = scratch_path(self.spark, "zorder")
+            rows.write.parquet(staged)
+            copy = self.spark.read.schema(rows.schema).parquet(staged)
+            return cluster_zorder(copy, bits, within=self.partition_by, in_files=True)
         if self.partition_by and gather:
             # Few files per partition; adaptive execution splits the partitions that are big.
             return rows.hint("rebalance", *self.partition_by)
@@ -406,9 +412,10 @@ class PointTable:
         written = self.spark.read.schema(self.schema).option("basePath", folder).parquet(folder)
         # Counting reads no column but the partition's: row counts come from file footers.
         added = (
-            written.select(*self.partition_by, _relative_path().alias("file"))
+            written.select(*self.partition_by, F.col(_PATH).alias("file"))
             .groupBy(*self.partition_by, "file")
             .agg(F.count("*").alias("record_count"))
+            .withColumn("file", _relative(F.col("file")))
             .select(
                 "file",
                 F.regexp_replace("file", "/[^/]*$", "").alias("folder"),
@@ -585,8 +592,7 @@ def drop_table(spark: SparkSession, name: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def _relative_path() -> Column:
-    """Path of a row's file below data/. The metadata column gives it percent-encoded."""
-    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
-    decoded = F.url_decode(encoded)
+def _relative(path: Column) -> Column:
+    """A file's path below data/. The metadata column gives it percent-encoded."""
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
     return F.concat(F.lit(f"{_ADDED_BY}="), F.substring_index(decoded, f"/{_ADDED_BY}=", -1))

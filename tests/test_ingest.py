@@ -56,6 +56,25 @@ def test_first_append_creates_a_zordered_named_table(spark, tmp_path, name):
     assert PointTable(spark, where).read().count() == 10  # the files stay
 
 
+def test_points_are_parsed_once(spark, tmp_path, name):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "points.csv").write_text("\n".join(line(16, 10 * i) for i in range(50)))
+    parsed = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        parsed.add(1)
+        return int(x) % 3
+
+    derived = {"third": F.udf(counted, "int")(F.col("x"))}
+    options = {"partition_by": ["third"], "derived": derived, "location": str(tmp_path / "table")}
+    ingest_files(spark, str(tmp_path / "in"), name, **options)
+    assert parsed.value == 50
+    ingest_files(spark, str(tmp_path / "in"), name, mode="overwrite", derived=derived)
+    assert parsed.value == 100
+    got = PointTable.named(spark, name).read().select("x", "third").collect()
+    assert sorted(map(tuple, got)) == [(10.0 * i, 10 * i % 3) for i in range(50)]
+
+
 def test_overwrite_replaces_the_partitions_of_the_files(spark, tmp_path, name):
     for part, classes in (("a", (1, 1, 2, 3)), ("b", (2, 4)), ("none", ())):
         (tmp_path / part).mkdir()
