@@ -80,9 +80,28 @@ def _may_reach(a: bytes, b: bytes, total: int, percent: int) -> bool:
     return (100 + percent) * int(np.minimum(x, y).sum()) >= percent * total
 
 
-def _several(rows: DataFrame, column: str) -> DataFrame:
-    """The rows of tokens that occur with several values of ``column``."""
-    same = Window.partitionBy("token")
+def _met(postings: DataFrame, percent: int) -> DataFrame:
+    """The postings that have, in their token's list, another set whose size allows the similarity.
+
+    Copies of a posting stand side by side in the order of sizes: of these, one at an end stays.
+    """
+    order = Window.partitionBy("token").orderBy("n", "node")
+    beside = {f"{c}_{x}": f(c).over(order) for c in ("n", "node") for x, f in (("lo", F.lag), ("hi", F.lead))}
+    alike = f"node_lo <> node and 100L * n_lo >= {percent} * n or node_hi <> node and 100L * n >= {percent} * n_hi"
+    return postings.withColumns(beside).filter(alike).drop(*beside)
+
+
+def _parts(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows with their token's list cut, in the order of sizes, where the next size is too large: ``part``."""
+    order = Window.partitionBy("token").orderBy("n")
+    cut = F.coalesce(F.expr(f"100L * n_lo < {percent} * n"), F.lit(True)).cast("int")
+    cuts = rows.withColumn("n_lo", F.lag("n").over(order)).withColumn("cut", cut)
+    return cuts.withColumn("part", F.sum("cut").over(order)).drop("n_lo", "cut")
+
+
+def _several(rows: DataFrame, column: str, *part: str) -> DataFrame:
+    """The rows of tokens, or of such parts of their lists, that occur with several values of ``column``."""
+    same = Window.partitionBy("token", *part)
     ends = [F.min(column).over(same).alias("lo"), F.max(column).over(same).alias("hi")]
     return rows.select("*", *ends).filter("lo <> hi").drop("lo", "hi")
 
@@ -220,7 +239,8 @@ class JaccardJoin:
                     whole.append(len(s))
                 if not nodes:
                     continue
-                flat = np.concatenate(tokens).view(np.int64)
+                # Cut to 48 bits: a chance meeting makes a candidate, no link.
+                flat = (np.concatenate(tokens) >> np.uint64(16)).view(np.int64)
                 place = np.concatenate([np.arange(k) for k in sizes])
                 yield pd.DataFrame(
                     {"token": flat, "node": np.repeat(nodes, sizes), "n": np.repeat(whole, sizes), "place": place, "bound": None}
@@ -237,10 +257,11 @@ class JaccardJoin:
                     )
 
         schema = "token bigint, node bigint, n int, place int, bound binary"
-        return saved(self.texts.mapInPandas(prefixes, schema), f"prefixes-{order}")
+        found = self.texts.mapInPandas(prefixes, schema)
+        return found if wanted is None else saved(found, f"prefixes-{order}")  # without bounds, read once
 
     def pivots(self, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Tokens of two sets or more, and pairs of each such token's sets with a few of them.
+        """Postings that meet a set of like size, and pairs of each token's such sets with a few of them.
 
         The few are drawn by hashes of the sets alone, so that lists of the same sets agree on
         them under every order. A pair comes with the number of tokens that it was found by.
@@ -248,7 +269,7 @@ class JaccardJoin:
         # Windows over one shuffle of the postings; most tokens are of one set and go before any draw.
         same = Window.partitionBy("token")
         drawn = [F.min_by("node", F.xxhash64("node", F.lit(k))).over(same) for k in range(_PIVOTS)]
-        lists = _several(postings, "node")
+        lists = _met(postings, self.percent)
         shared = saved(
             lists.select("token", "node", "n", "place", F.array_distinct(F.array(*drawn)).alias("b")), "shared"
         )
@@ -263,16 +284,15 @@ class JaccardJoin:
         ends = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node")))
         links = ends.groupBy("node").agg(F.least(F.count("node"), F.lit(_PIVOTS)).alias("links"))
         known = unjoined.join(links, "node", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+        known = known.select("token", "node", "root", "links").repartition("token")  # before the draws, which are wider
         order = [  # by links, then by a hash of 56 bits
             F.shiftleft("links", 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64("node", F.lit(_PIVOTS + k)), 8))
             for k in range(_CENTRAL)
         ]
-        most = known.groupBy("token").agg(
-            *[F.array(*[F.max_by(c, o) for o in order]).alias(c) for c in ("node", "root")]
-        )
-        few = F.array_distinct(F.arrays_zip(F.col("node").alias("b"), F.col("root").alias("root_b")))
-        pairs = unjoined.join(most.select("token", few.alias("few")), "token")
-        pairs = pairs.select("token", F.col("node").alias("a"), "root", F.inline("few")).filter("root <> root_b")
+        same = Window.partitionBy("token")
+        few = F.array(*[F.max_by(F.struct(F.col("node").alias("b"), F.col("root").alias("root_b")), o).over(same) for o in order])
+        pairs = known.select("token", F.col("node").alias("a"), "root", few.alias("few"))
+        pairs = pairs.select("token", "a", "root", F.inline(F.array_distinct("few"))).filter("root <> root_b")
         return pairs.groupBy("a", "b").agg(F.count("token").alias("found"))
 
     def best(self, pairs: list[DataFrame], few: int) -> DataFrame:
@@ -291,9 +311,10 @@ class JaccardJoin:
         return chosen.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
     def unjoined(self, lists: DataFrame, roots: DataFrame) -> DataFrame:
-        """The lists that hold sets of several groups."""
+        """The lists' sets that may link with sets of other groups."""
         joined = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        return saved(_several(joined, "root").select("token", "node", "root", "n", "place"), "unjoined")
+        lists = _several(_parts(joined, self.percent), "root", "part")
+        return saved(lists.select("token", "node", "root", "n", "place"), "unjoined")
 
     def pairs(self, unjoined: DataFrame) -> DataFrame:
         """Pairs of sets that share a token, may be similar and are not joined yet.

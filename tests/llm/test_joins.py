@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cloudmill.llm.components import components
 from cloudmill.llm.embedding_dedup import dedup_embeddings
-from cloudmill.llm.jaccard_join import jaccard_groups, keep_one_of_each
+from cloudmill.llm.jaccard_join import JaccardJoin, jaccard_groups, keep_one_of_each
 from cloudmill.llm.language_model import fit_weights, score_texts
 from cloudmill.llm.packing import pack_documents
 from cloudmill.llm.pieces import decode_pieces, encode_pieces, load, piece_digests
@@ -209,3 +209,21 @@ def test_lists_of_several_sets_take_one_shuffle_at_any_size(spark):
     assert sorted(map(tuple, lists.collect())) == [r for r in rows if r[0] in (1, 4)]
     plan = lists._jdf.queryExecution().sparkPlan().toString()
     assert "Join" not in plan and plan.count("Window [") == 1
+
+
+def test_lists_keep_only_sets_with_one_of_like_size(spark):
+    """Sets whose sizes rule the similarity out are not paired, and leave no rows behind."""
+    join = JaccardJoin(spark.createDataFrame([(1, "a")], "doc_id long, text string"), 5, 80, 2, 8, "text")
+    sizes = {1: 10, 2: 100, 3: 79, 4: 80, 5: 64, 6: 63}
+    lists = {7: [1, 2], 8: [2, 3], 9: [2, 4], 10: [1, 1], 11: [4, 5, 5, 6, 1], 12: [6, 3, 2, 4]}
+    rows = [(t, k, sizes[k], 0) for t, nodes in lists.items() for k in nodes]
+    shared, pairs = join.pivots(spark.createDataFrame(rows, "token long, node long, n int, place int"))
+    want = {(9, 2), (9, 4), (11, 4), (11, 5), (11, 6), (12, 2), (12, 3), (12, 4)}  # 63 is too few for 79
+    assert {(r.token, r.node) for r in shared.collect()} == want
+    assert {(r.a, r.b) for r in pairs.collect()} <= {(a, b) for t, a in want for u, b in want if t == u and a != b}
+    # Sets 4 and 5 are joined, the set 6 can still meet them.
+    roots = spark.createDataFrame([(4, 4), (5, 4)], "node long, root long")
+    apart = join.unjoined(shared, roots)
+    assert {(r.token, r.node) for r in apart.collect() if r.token == 11} == {(11, 4), (11, 5), (11, 6)}
+    roots = spark.createDataFrame([(4, 4), (5, 4), (6, 4)], "node long, root long")
+    assert join.unjoined(shared, roots).filter("token = 11").count() == 0
