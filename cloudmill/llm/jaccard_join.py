@@ -284,15 +284,13 @@ class JaccardJoin:
         ends = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node")))
         links = ends.groupBy("node").agg(F.least(F.count("node"), F.lit(_PIVOTS)).alias("links"))
         known = unjoined.join(links, "node", "left").withColumn("links", F.coalesce("links", F.lit(0)))
-        known = known.select("token", "node", "root", "links").repartition("token")  # before the draws, which are wider
-        order = [  # by links, then by a hash of 56 bits
-            F.shiftleft("links", 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64("node", F.lit(_PIVOTS + k)), 8))
-            for k in range(_CENTRAL)
-        ]
-        same = Window.partitionBy("token")
-        few = F.array(*[F.max_by(F.struct(F.col("node").alias("b"), F.col("root").alias("root_b")), o).over(same) for o in order])
-        pairs = known.select("token", F.col("node").alias("a"), "root", few.alias("few"))
-        pairs = pairs.select("token", "a", "root", F.inline(F.array_distinct("few"))).filter("root <> root_b")
+        known = known.select("token", "node", "root", "links").repartition("token")  # one shuffle, of narrow rows
+        most = Window.partitionBy("token").orderBy(F.col("links").desc(), F.xxhash64("node"), "node")
+        ranked = known.withColumn("rank", F.row_number().over(most))
+        chosen = F.when(F.col("rank") <= _CENTRAL, F.struct(F.col("node").alias("b"), F.col("root").alias("root_b")))
+        few = F.collect_list(chosen).over(Window.partitionBy("token"))  # no more than _CENTRAL: it skips nulls
+        pairs = ranked.select("token", F.col("node").alias("a"), "root", few.alias("few"))
+        pairs = pairs.select("token", "a", "root", F.inline("few")).filter("root <> root_b")
         return pairs.groupBy("a", "b").agg(F.count("token").alias("found"))
 
     def best(self, pairs: list[DataFrame], few: int) -> DataFrame:

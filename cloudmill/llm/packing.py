@@ -87,7 +87,7 @@ def _encoder(name: str) -> Callable[[str], bytes]:
                     found = self[core] + marks(word[len(core) :])
             else:
                 found = plain(word if word[:1] == "\n" else " " + word)
-            if len(self) >= 300_000:  # memory only: the ids do not depend on it
+            if len(self) >= 100_000:  # memory only: the ids do not depend on it
                 self.clear()
             self[word] = found
             return found

@@ -253,7 +253,7 @@ def quality_score(model: LineChain) -> Callable:
         for batch in batches:
             texts = batch.tolist()
             out = np.empty(len(texts))
-            for part in chunks(texts, 1_000_000):
+            for part in chunks(texts, 200_000):
                 out[part] = model.quality(texts[part])
             yield pd.Series(out)
 

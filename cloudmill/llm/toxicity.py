@@ -307,7 +307,7 @@ def toxicity_score(p: Params | None, prior: float = 0.0) -> Callable:
             texts = batch.tolist()
             out = np.full(len(texts), prior)
             if p is not None:
-                for part in chunks(texts, 500_000):
+                for part in chunks(texts, 100_000):
                     w = Windows(texts[part])
                     high = np.maximum.reduceat(window_logits(p, w), w.offsets[:-1])
                     out[part] = _sigmoid(high.astype(np.float64))
