@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from cloudmill.llm import quality, toxicity
@@ -136,3 +137,17 @@ def test_gradients_equal_differences():
         down = loss()
         p[name][at] = kept
         assert g[name][at] == pytest.approx((up - down) / (2 * h), rel=0.05, abs=2e-5), name
+
+
+def test_toxicity_scores_few_texts_at_a_time(spark, monkeypatch):
+    """What a Python worker holds at once is bounded, whatever a batch holds."""
+    held, windows = [], toxicity.Windows
+
+    def counted(texts):
+        held.append(sum(map(len, texts)))
+        return windows(texts)
+
+    monkeypatch.setattr(toxicity, "Windows", counted)
+    texts = pd.Series([f"word{i % 7} " * 1000 for i in range(60)])
+    got = pd.concat(list(toxicity.toxicity_score(toxicity._start(7)).func(iter([texts]))))
+    assert len(got) == 60 and sum(held) == texts.str.len().sum() and max(held) <= 110_000
