@@ -127,7 +127,7 @@ def labelled_sample(
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col(text).alias("text"))
     present = texts.filter(F.col("text").isNotNull())
     lengths = present.select("id", F.length("text").alias("n"))  # texts are not shuffled
-    known = lengths.join(marks, "id").groupBy("id", "y").agg(F.max("n").alias("n"))
+    known = saved(lengths.join(marks, "id").groupBy("id", "y").agg(F.max("n").alias("n")), "labelled")
     chosen = []
     for y in (0, 1):
         ranked = known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class)

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from cloudmill.llm.common import saved
 
 
-def components(links: DataFrame, label: str = "components") -> DataFrame:
+def components(links: DataFrame, label: str = "components", known: DataFrame | None = None) -> DataFrame:
     """Nodes of ``links`` (bigint columns a, b) with a common ``root`` for all that are joined.
 
+    ``known`` is what this function returned for earlier links, to which these are added: its
+    groups are contracted first, so that only links between them take rounds, and its nodes are
+    in the result too.
+
     Random contraction: in each round every node points at the neighbour, or itself, with the
     least hash of that round; links move to where their ends point and vanish inside a point.
     A constant share of nodes vanishes in expectation, so rounds grow with the logarithm of the
@@ -18,6 +22,12 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     folder. Nodes outside any link do not appear. The driver sees only row counts.
     """
     both = links.filter("a <> b").select("a", "b")
+    if known is not None:
+        for end in ("a", "b"):
+            at = known.select(F.col("node").alias(end), F.col("root").alias("to"))
+            other = "b" if end == "a" else "a"
+            both = both.join(at, end, "left").select(F.coalesce("to", end).alias(end), other)
+        both = both.filter("a <> b").select("a", "b")
     left = saved(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), label)
     root = left.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
     seed = 0
@@ -45,4 +55,10 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
             .distinct(),
             label,
         )
-    return root
+    if known is None:
+        return root
+    if not seed:
+        return known  # no link joins its groups or adds a node
+    move = root.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    old = known.join(move, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return saved(old.unionByName(root.join(known, "node", "left_anti")), label)

@@ -430,12 +430,12 @@ def _grouped(
     apart = [join.unjoined(lists, roots) for lists in shared]
     central = join.best([join.central(lists, first) for lists in apart], _CENTRAL)
     more, tried = join.verified(central, bounds, seen)
-    first, seen = first.unionByName(more), seen.unionByName(tried)
-    roots = components(first)
+    seen = seen.unionByName(tried)
+    roots = components(more, known=roots)
     apart = [join.unjoined(lists.drop("root"), roots) for lists in apart]
     rest = reduce(lambda x, y: x.join(y, ["a", "b"]), (join.pairs(lists) for lists in apart))
     last, _ = join.verified(rest, bounds, seen)
-    joined = components(first.unionByName(last))
+    joined = components(last, known=roots)
     grouped = saved(
         members.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")), "grouped"
     )

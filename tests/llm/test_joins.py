@@ -227,3 +227,43 @@ def test_lists_keep_only_sets_with_one_of_like_size(spark):
     assert {(r.token, r.node) for r in apart.collect() if r.token == 11} == {(11, 4), (11, 5), (11, 6)}
     roots = spark.createDataFrame([(4, 4), (5, 4), (6, 4)], "node long, root long")
     assert join.unjoined(shared, roots).filter("token = 11").count() == 0
+
+
+def test_components_of_links_added_to_known_groups(spark):
+    def of(links):
+        return spark.createDataFrame(links, "a bigint, b bigint")
+
+    first = [(1, 2), (2, 3), (10, 11), (20, 21)]
+    added = [(3, 1), (11, 3), (30, 31), (31, 21), (40, 41), (50, 50)]
+    known = components(of(first))
+    got = {r.node: r.root for r in components(of(added), known=known).collect()}
+    want = least_reachable({x for l in first + added for x in l}, first + added)
+    del want[50]
+    assert set(got) == set(want)
+    assert len({(want[n], r) for n, r in got.items()}) == len(set(want.values())) == len(set(got.values()))
+    same = {r.node: r.root for r in components(of([(1, 3), (11, 10)]), known=known).collect()}
+    assert same == {r.node: r.root for r in known.collect()}
+
+
+def test_joined_sets_are_not_grouped_again(spark, monkeypatch):
+    from cloudmill.llm import components as steps
+    from cloudmill.llm import jaccard_join
+
+    written = []
+
+    def saved(df, label, save=steps.saved):
+        written[-1] += 1
+        return save(df, label)
+
+    def grouped(*links, **more):
+        written.append(0)
+        return components(*links, **more)
+
+    monkeypatch.setattr(steps, "saved", saved)
+    monkeypatch.setattr(jaccard_join, "components", grouped)
+    body = " ".join(f"word{k}" for k in range(60))
+    texts = [(i, f"{body} end{i}") for i in range(4)]
+    groups = jaccard_groups(spark.createDataFrame(texts, "doc_id bigint, text string"), sketch_bits=10)
+    assert {r.component_id for r in groups.collect()} == {0}
+    first, *later = written
+    assert first > 1 and later == [1, 1]  # one look at each, no round
