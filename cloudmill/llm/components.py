@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from cloudmill.llm.common import saved
 
+_FOLLOWED = 8  # rounds whose pointers are followed in one plan
+
 
 def components(links: DataFrame, label: str = "components", known: DataFrame | None = None) -> DataFrame:
     """Nodes of ``links`` (bigint columns a, b) with a common ``root`` for all that are joined.
@@ -16,10 +18,12 @@ def components(links: DataFrame, label: str = "components", known: DataFrame | N
     in the result too.
 
     Random contraction: in each round every node points at the neighbour, or itself, with the
-    least hash of that round; links move to where their ends point and vanish inside a point.
-    A constant share of nodes vanishes in expectation, so rounds grow with the logarithm of the
-    longest chain. Minima are combined inside each task; each round is written to the shared
-    folder. Nodes outside any link do not appear. The driver sees only row counts.
+    least hash; links move to where their ends point and vanish inside a point. Hashes change
+    every second round: the first of two leaves a share of nodes in expectation, so rounds grow
+    with the logarithm of the longest chain; the second joins what is left of a star, whose
+    nodes all reach its least one in two steps. Minima are combined inside each task; each
+    round is written to the shared folder, and the rounds' pointers are followed at the end.
+    Nodes outside any link do not appear. The driver sees only whether links are left.
     """
     both = links.filter("a <> b").select("a", "b")
     if known is not None:
@@ -29,23 +33,18 @@ def components(links: DataFrame, label: str = "components", known: DataFrame | N
             both = both.join(at, end, "left").select(F.coalesce("to", end).alias(end), other)
         both = both.filter("a <> b").select("a", "b")
     left = saved(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), label)
-    root = left.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
-    seed = 0
-    while left.limit(1).count():
-        seed += 1
+    points = []
+    while not left.isEmpty():
+        seed = F.lit(len(points) // 2)
         least = left.groupBy("a").agg(
-            F.min_by("b", F.xxhash64("b", F.lit(seed))).alias("other"),
-            F.min(F.xxhash64("b", F.lit(seed))).alias("h"),
+            F.min_by("b", F.xxhash64("b", seed)).alias("other"), F.min(F.xxhash64("b", seed)).alias("h")
         )
-        own = F.xxhash64("a", F.lit(seed))
+        own = F.xxhash64("a", seed)
         point = saved(
             least.select("a", F.when(F.col("h") < own, F.col("other")).otherwise(F.col("a")).alias("to")),
             label,
         )
-        move = point.select(F.col("a").alias("root"), "to")
-        root = saved(
-            root.join(move, "root", "left").select("node", F.coalesce("to", "root").alias("root")), label
-        )
+        points.append(point)
         ends = point.select(F.col("a").alias("b"), F.col("to").alias("to_b"))
         left = saved(
             left.join(point, "a")
@@ -55,10 +54,14 @@ def components(links: DataFrame, label: str = "components", known: DataFrame | N
             .distinct(),
             label,
         )
-    if known is None:
-        return root
-    if not seed:
+    if known is not None and not points:
         return known  # no link joins its groups or adds a node
-    move = root.select(F.col("node").alias("root"), F.col("root").alias("to"))
-    old = known.join(move, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return saved(old.unionByName(root.join(known, "node", "left_anti")), label)
+    nodes = (points[0] if points else left).select(F.col("a").alias("node"), F.col("a").alias("root"))
+    root = nodes if known is None else known.unionByName(nodes.join(known, "node", "left_anti"))
+    for k, point in enumerate(points, 1):
+        root = root.join(point.withColumnRenamed("a", "root"), "root", "left").select(
+            "node", F.coalesce("to", "root").alias("root")
+        )
+        if k % _FOLLOWED == 0 and k < len(points):
+            root = saved(root, label)
+    return saved(root, label) if points else root

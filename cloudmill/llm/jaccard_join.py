@@ -360,6 +360,8 @@ class JaccardJoin:
             "near",
         )
         wanted = self.needed(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))))
+        if not wanted.any():
+            return near, both  # no pair is left, so neither is a link
         sets = self._distinct(wanted)
 
         def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -46,10 +46,10 @@ class Windows:
         hashes = words.hashes(starts, ends)
         distinct, at, row = np.unique(hashes, return_index=True, return_inverse=True)
         self.count = len(distinct)
-        self.word_rows = (distinct & np.uint64(_WORD_ROWS - 1)).astype(np.int64)
+        self.word_rows = (distinct & np.uint64(_WORD_ROWS - 1)).astype(np.int32)
         starts, ends = starts[at], ends[at]
         stems = [words.hashes(starts, np.minimum(starts + k, ends)) for k in _STEMS]
-        self.stem_rows = (np.stack(stems, axis=1) & np.uint64(_STEM_ROWS - 1)).astype(np.int64)
+        self.stem_rows = (np.stack(stems, axis=1) & np.uint64(_STEM_ROWS - 1)).astype(np.int32)
         self.sizes = ends - starts  # a word of n bytes has n runs of three with its ends
         heads = np.concatenate(([0], np.cumsum(self.sizes)))
         self.heads = heads[:-1]
@@ -60,7 +60,7 @@ class Windows:
         left = np.where(place == 0, np.uint64(1), data[byte - 1])
         right = np.where(final, np.uint64(2), data[np.minimum(byte + 1, len(data) - 1)])
         run = (left << np.uint64(16)) | (data[byte] << np.uint64(8)) | right
-        self.char_rows = ((run * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(51)).astype(np.int64)
+        self.char_rows = ((run * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(51)).astype(np.int32)
 
         sizes = np.diff(words.offsets)
         per_text = np.maximum(1, -(-(sizes - (WINDOW - STRIDE)) // STRIDE))
@@ -71,7 +71,7 @@ class Windows:
         head = np.repeat(words.offsets[:-1], per_text) + nth * STRIDE
         end = np.repeat(words.offsets[1:], per_text)
         where = head[:, None] + np.arange(WINDOW)
-        row = np.append(row, self.count)
+        row = np.append(row, self.count).astype(np.int32)
         self.index = row[np.where(where < end[:, None], where, len(row) - 1)]
 
 

@@ -267,3 +267,31 @@ def test_joined_sets_are_not_grouped_again(spark, monkeypatch):
     assert {r.component_id for r in groups.collect()} == {0}
     first, *later = written
     assert first > 1 and later == [1, 1]  # one look at each, no round
+
+
+def test_a_star_takes_few_rounds_and_writes(spark, monkeypatch):
+    """What a search plans and runs stays in the driver's memory, whatever the links are."""
+    from cloudmill.llm import components as steps
+
+    written = []
+    monkeypatch.setattr(steps, "saved", lambda df, label, save=steps.saved: written.append(label) or save(df, label))
+    links = [(0, 1 + i) for i in range(500)] + [(1000 + 2 * i, 1001 + 2 * i) for i in range(50)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    want = least_reachable({x for l in links for x in l}, links)
+    assert set(got) == set(want)
+    assert len({(want[n], r) for n, r in got.items()}) == len(set(want.values())) == len(set(got.values()))
+    assert len(written) <= 6  # the links, two rounds of two, and the result
+
+
+def test_passes_over_texts_end_with_the_pairs(spark, monkeypatch):
+    """Without candidates nothing is verified, so no text is read for it."""
+    from cloudmill.llm import jaccard_join
+
+    written = []
+    monkeypatch.setattr(
+        jaccard_join, "saved", lambda df, label, save=jaccard_join.saved: written.append(label) or save(df, label)
+    )
+    texts = [(i, " ".join(f"w{i}x{k}" for k in range(9))) for i in range(5)] + [(9, "w0x0 w0x1")]
+    groups = jaccard_groups(spark.createDataFrame(texts, "doc_id bigint, text string"), sketch_bits=10)
+    assert {(r.doc_id, r.component_id) for r in groups.collect()} == {(i, i) for i, _ in texts}
+    assert written.count("candidates") == 3 and not {"sets", "links"} & set(written)
